@@ -2,5 +2,5 @@
 
 
 def load():
-    from catalog import registry, scalars  # noqa: F401
+    from catalog import registry, scalars, tables, cells, scores, models  # noqa: F401
     return registry

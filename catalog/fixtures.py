@@ -183,7 +183,7 @@ def latest_sat(spark: SparkSession, d: str) -> DataFrame:
 def scored_cells(spark: SparkSession, d: str) -> DataFrame:
     """Cells with a stand-in probability, class and diversity."""
     from marshline.functions.labels import suitability_class
-    p = F.pmod(F.col("ix") * 37 + F.col("iy") * 11, F.lit(1001)) / F.lit(1000.0)
+    p = F.pmod(F.col("ix") * 37 + F.col("iy") * 11, F.lit(1001)) / F.lit(1000.7)
     div = F.pmod(F.col("ix") * 5 + F.col("iy") * 13, F.lit(301)) / F.lit(100.0)
     return latest_sat(spark, d).select("ix", "iy", "cell_x", "cell_y", "water_mask", p.alias("suitability_probability")
                                        ).withColumns({

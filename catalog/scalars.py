@@ -187,7 +187,8 @@ def parse_aoi(spark, d):
     return X.aois(spark, d).select(
         "aoi_id", F.size("polys").cast("long").alias("n_polygons"), F.size(F.flatten("polys")).cast("long").alias("n_rings"),
         F.size(pts).cast("long").alias("n_points"),
-        *[rounded(F.aggregate(pts, F.lit(0.0), lambda acc, p, a=a: acc + p[a])).alias(f"sum_{a}") for a in ("x", "y")])
+        rounded(F.aggregate(pts, F.lit(0.0), lambda acc, p: acc + p["x"])).alias("sum_x"),
+        rounded(F.aggregate(pts, F.lit(0.0), lambda acc, p: acc + p["y"])).alias("sum_y"))
 
 
 @query("polygon_bounds", sql(f"SELECT aoi_id, {rcols(['west', 'south', 'east', 'north'])} FROM aoi_b", "aoi_b"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from catalog.fixtures import BOX, GRID, NOW, OUTLINES, SHIFT_MONTHS
+from catalog.registry import nudge
 from marshline import constants as K
 
 
@@ -13,7 +14,7 @@ def num(x: float) -> str:
 
 
 def r6(expr: str, name: str | None = None, digits: int = 6) -> str:
-    return f'round(CAST({expr} AS DOUBLE), {digits}) + 0e0' + (f' AS "{name}"' if name else "")
+    return f'round(CAST({expr} AS DOUBLE) + {num(nudge(digits))}, {digits}) + 0e0' + (f' AS "{name}"' if name else "")
 
 
 def rcols(cols: list[str], digits: int = 6) -> str:
@@ -319,7 +320,7 @@ CTES: dict[str, tuple[str, list[str]]] = {
     "scored": (f"""SELECT *, round_even(suitability_probability * 100, 1) AS suitability_pct,
         {suit_class('suitability_probability', 'water_mask')} AS archetype FROM (
         SELECT ix, iy, {cx()} AS cell_x, {cy()} AS cell_y, water_mask,
-        ({pmod('ix * 37 + iy * 11', 1001)}) / 1000e0 AS suitability_probability,
+        ({pmod('ix * 37 + iy * 11', 1001)}) / 1000.7e0 AS suitability_probability,
         round_even(({pmod('ix * 5 + iy * 13', 301)}) / 100e0, 2) AS predicted_diversity FROM latest)""", ["latest"]),
     "aoiscored": ("SELECT aoi_id, scored.* FROM hits JOIN scored USING (ix, iy)", ["hits", "scored"]),
     "train": ("SELECT *, CASE WHEN n_observations > 0 THEN 1 ELSE 0 END AS label FROM mi", ["mi"]),

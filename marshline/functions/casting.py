@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy"]
+# Tried after ISO dates and timestamps, which cast directly.
+DATE_FORMATS = ["yyyy/MM/dd", "MM/dd/yyyy"]
 
 
 def nan_to_null(col: Column) -> Column:
@@ -19,9 +20,8 @@ def coerce_numeric(col: Column) -> Column:
 def coerce_date(col: Column, formats: list[str] = DATE_FORMATS) -> Column:
     """The date of the first format that parses, else NULL."""
     text = F.trim(col.cast("string"))
-    iso = text.try_cast("timestamp")
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
-    return F.coalesce(iso, *tries).cast("date")
+    tries = [F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats]
+    return F.coalesce(text.try_cast("date"), *tries)
 
 
 def coerce_count(col: Column | None) -> Column:

@@ -12,11 +12,14 @@ from marshline import constants as K
 from marshline.functions import geometry as G, labels as L
 from marshline.grid import GridSpec, cell_polygon
 from marshline.operators.scoring import trend_columns
+from marshline.session import stage
 
 # Index cell sizes, in grid cells. An area is indexed at the smallest size at
 # which its bounding box spans at most MAX_SPAN index cells each way.
 INDEX_SIZES = [1, 8, 64, 512, 4096]
 MAX_SPAN = 16
+# Largest covering table to broadcast, in polygon edges (about 60 bytes each).
+BROADCAST_EDGES = 200_000
 
 
 def _cover(aois: DataFrame, grid: GridSpec) -> DataFrame:
@@ -48,12 +51,17 @@ def spatial_join(points: DataFrame, aois: DataFrame, grid: GridSpec, x: str = "c
     """Points inside each area, with ``aoi_id`` and the area's other columns.
 
     An equi join on covering index cells, then the bounding box, then strict
-    containment (``refine=False`` stops at the box). Small area tables are
-    broadcast by their measured size; otherwise both sides shuffle on the index
-    cell, and skewed index cells are split by adaptive execution.
+    containment (``refine=False`` stops at the box). The covering table is
+    staged and measured first: up to ``BROADCAST_EDGES`` polygon edges it is
+    broadcast and the points never move. Beyond that both sides shuffle on the
+    index cell, where adaptive execution splits hot cells; the hint keeps a wrong
+    size estimate from broadcasting the exploded table.
     """
-    cover = _cover(aois, grid)
-    used = cover.agg(F.collect_set("_size")).scalar()  # at most len(INDEX_SIZES) values
+    cover = stage(_cover(aois, grid), "cover")
+    size = cover.agg(F.coalesce(F.sum(F.size("edges") + 4), F.lit(0)).alias("edges"),
+                     F.collect_set("_size").alias("used")).first()
+    cover = F.broadcast(cover) if size["edges"] <= BROADCAST_EDGES else cover.hint("merge")
+    used = F.array(*[F.lit(s) for s in sorted(size["used"])]).cast("array<int>")
     keyed = (
         points.withColumn("_size", F.explode(used))
         .withColumns({"_cx": F.floor(grid.ix(F.col(x)) / F.col("_size")),

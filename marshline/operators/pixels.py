@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from marshline import constants as K
 from marshline.functions import spectral as S
 from marshline.functions.dates import assign_dekad
-from marshline.grid import GridSpec, assign_grid_cell, in_bbox
+from marshline.grid import in_bbox
+from marshline.operators.selection import grouped_medians
 
 
-def canonical_bands(df: DataFrame) -> DataFrame:
-    """Product band and coordinate names to the names used here."""
+def canonical_bands(df: DataFrame, coordinates: bool = True) -> DataFrame:
+    """Product band (and coordinate) names to the names used here."""
     have = set(df.columns)
     names = {a: b for a, b in K.BAND_ALIASES.items() if a in have and b not in have}
-    for alias, target in K.COORD_ALIASES:
+    for alias, target in K.COORD_ALIASES if coordinates else []:
         if alias in have and target not in have and target not in names.values():
             names[alias] = target
     return df.withColumnsRenamed(names)
@@ -132,35 +133,22 @@ def drop_missing_any(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.dropna("any", subset=list(cols))
 
 
-def pixel_medians(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Exact median of each column per key.
-
-    A key here is one pixel in one period. Values are counted map-side, so a
-    key's state is bounded by its distinct values: the scenes in the period, or
-    the 16-bit range of digital numbers, whichever is smaller.
-    """
-    return df.groupBy(*keys).agg(*[F.median(c).alias(c) for c in cols])
-
-
-def temporal_median(df: DataFrame, keys: list[str] = ("px", "py"), cols: list[str] = K.INDICES) -> DataFrame:
-    """Per-pixel median over the scenes of a search (at most the search limit)."""
-    return pixel_medians(df, list(keys), cols)
+def temporal_median(df: DataFrame, keys: list[str] = ("px", "py"), cols: list[str] = K.INDICES,
+                    hot_rows: int | None = 1_000_000) -> DataFrame:
+    """Per-pixel median over scenes; ``hot_rows=None`` where scenes are limited."""
+    return grouped_medians(df, list(keys), list(cols), hot_rows)
 
 
 def dekadal_composite(df: DataFrame, keys: list[str] = ("tile_id", "px", "py"),
                       bands: list[str] = K.BANDS, policy: str | None = "composite") -> DataFrame:
     """Masked per-pixel, per-band median of each ten-day period.
 
-    The bands are digital numbers of at most 16 bits, which bounds the value
-    counts kept for any pixel however many scenes see it.
+    The bands are digital numbers of at most 16 bits and the median counts
+    values, which bounds the state of a pixel however many scenes see it.
     """
     masked = scl_mask(df, policy, bands) if policy else df
     dated = masked.withColumn("dekad", assign_dekad(F.col("time")))
-    return drop_missing_all(pixel_medians(dated, [*keys, "dekad"], bands), bands)
-
-
-def cells_of(df: DataFrame, grid: GridSpec) -> DataFrame:
-    return assign_grid_cell(df, grid)
+    return drop_missing_all(grouped_medians(dated, [*keys, "dekad"], bands, None), bands)
 
 
 def cloud_fraction(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from marshline.session import stage
+
 _ALL = "_all"
 
 
@@ -19,13 +21,14 @@ def percentile_name(col: str, p: float) -> str:
 
 
 def exact_percentiles(df: DataFrame, cols: list[str], probs: list[float],
-                      keys: list[str] = (), accuracy: int = 4096) -> DataFrame:
+                      keys: list[str] = (), accuracy: int = 4096, few_groups: bool = True) -> DataFrame:
     """Linear-interpolated percentiles of ``cols``, per group when ``keys`` are given.
 
     Returns one row per group with columns ``<col>_p<percent>``. Missing values
-    are ignored. Meant for few, possibly huge groups (labels, clusters, the
-    whole table): the bracket table has one row per group and column and is
-    broadcast, so ``keys`` must come from a small closed set.
+    are ignored. Meant for possibly huge groups (labels, clusters, the whole
+    table). The bracket table has one row per group and column; it is broadcast
+    when ``few_groups`` says the keys come from a small closed set, else joined
+    by key, where adaptive execution splits hot keys.
     """
     groups = list(keys) or [_ALL]
     src = df if keys else df.withColumn(_ALL, F.lit(0))
@@ -55,7 +58,7 @@ def exact_percentiles(df: DataFrame, cols: list[str], probs: list[float],
     # Rows under the bracket collapse to one counted NULL before any shuffle;
     # rows above it are not needed.
     inside = (
-        values.join(F.broadcast(brackets), [*groups, "feature"])
+        values.join(F.broadcast(brackets) if few_groups else brackets, [*groups, "feature"])
         .select(*groups, "feature", "value", F.explode("targets").alias("t"))
         .where(F.col("t.hi").isNull() | (F.col("value") <= F.col("t.hi")))
         .groupBy(*groups, "feature", F.col("t.i").alias("i"), F.col("t.pos").alias("pos"),
@@ -84,6 +87,27 @@ def exact_percentiles(df: DataFrame, cols: list[str], probs: list[float],
     return out if keys else out.drop(_ALL)
 
 
+def grouped_medians(df: DataFrame, keys: list[str], cols: list[str], hot_rows: int | None = 1_000_000) -> DataFrame:
+    """Exact medians per key for many keys, some of which may be huge.
+
+    The built-in median keeps a key's distinct values in one task. Keys with
+    more than ``hot_rows`` rows (one eager count over the key columns) take the
+    bracketed route instead. ``hot_rows=None`` skips the check where the caller
+    knows a bound.
+    """
+    def plain(part: DataFrame) -> DataFrame:
+        return part.groupBy(*keys).agg(*[F.median(c).alias(c) for c in cols])
+
+    if hot_rows is None:
+        return plain(df)
+    hot = stage(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).drop("_n"), "hot")
+    if hot.isEmpty():
+        return plain(df)
+    big = exact_percentiles(df.join(hot, keys, "left_semi"), cols, [0.5], keys, few_groups=False)
+    named = big.select(*keys, *[F.col(percentile_name(c, 0.5)).alias(c) for c in cols])
+    return plain(df.join(hot, keys, "left_anti")).unionByName(named)
+
+
 def percentile_struct(df: DataFrame, cols: list[str], probs: list[float]) -> Column:
     """The whole-table percentiles as one scalar struct, for use in a projection."""
     q = exact_percentiles(df, cols, probs)

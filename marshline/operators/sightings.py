@@ -52,12 +52,14 @@ def filter_taxon(df: DataFrame, taxon: str = "Aves", col: str = "iconic_taxon_na
 
 
 def _located(df: DataFrame, grid: GridSpec, years: tuple[int, int]) -> DataFrame:
-    """Cheap spatial filter first, then dates, then cell and dekad."""
-    near = df.dropna("any", subset=["lat", "lon", "date"]).where(
-        in_bbox(F.col("lon"), F.col("lat"), grid.buffered))
-    dated = near.withColumn("date", coerce_date(F.col("date"))).dropna("any", subset=["date"])
-    return assign_grid_cell(filter_years(dated, *years), grid).withColumn(
-        "dekad", assign_dekad(F.col("date")))
+    """Cheap spatial filter first, then dates, then cell and dekad.
+
+    Range tests are false for missing and NaN values alike, so they also drop
+    rows without coordinates or a readable date.
+    """
+    near = df.where(in_bbox(F.col("lon"), F.col("lat"), grid.buffered))
+    dated = filter_years(near.withColumn("date", coerce_date(F.col("date"))), *years)
+    return assign_grid_cell(dated, grid).withColumn("dekad", assign_dekad(F.col("date")))
 
 
 _OUT = [*CELL_DEKAD, "species", "order", "family", "count", "source"]
@@ -66,7 +68,7 @@ _OUT = [*CELL_DEKAD, "species", "order", "family", "count", "source"]
 def clean_ebird(raw: DataFrame, grid: GridSpec, years=(K.YEAR_MIN, K.YEAR_MAX)) -> DataFrame:
     """String columns of source A to unified observations."""
     short = resolve_column_aliases(raw).withColumns({
-        "lat": coerce_numeric(F.col("lat")), "lon": coerce_numeric(F.col("lon"))})
+        c: F.trim(F.col(c)).try_cast("double") for c in ("lat", "lon")})
     return _located(short, grid, years).withColumns({
         "count": coerce_count(F.col("count")), "source": F.lit("ebird")}).select(*_OUT)
 

@@ -63,7 +63,7 @@ def live_cells(scenes: DataFrame, pixels: DataFrame, aois: DataFrame, now: dt.da
             .withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= limit).drop("rank"))
     dates = C.middle_scene_date(used, ["aoi_id"]).withColumnRenamed("middle_date", "acquisition_date")
     masked = pixel_indices(inside, "live").join(used.select("aoi_id", "scene_id"), ["aoi_id", "scene_id"], "left_semi")
-    medians = P.temporal_median(masked, ["aoi_id", "mid_lat", "lon", "lat"])
+    medians = P.temporal_median(masked, ["aoi_id", "mid_lat", "lon", "lat"], hot_rows=None)
     lon_size = F.lit(grid.cell_km) / (F.lit(K.KM_PER_DEG_LON) * F.cos(F.radians("mid_lat")))
     keyed = medians.withColumn("cell_lon", lon_size).withColumns({
         "ix": F.floor(F.col("lon") / F.col("cell_lon")), "iy": grid.iy(F.col("lat"))})

@@ -18,7 +18,7 @@ def temporal_features(df: DataFrame, date: str = "dekad", doy_period: float = K.
 
 def pixel_indices(pixels: DataFrame, policy: str | None = None) -> DataFrame:
     """Named bands, reflectance, indices and (optionally) the scene-class mask."""
-    df = P.spectral_indices(P.scale_reflectance(P.canonical_bands(pixels)))
+    df = P.spectral_indices(P.scale_reflectance(P.canonical_bands(pixels, coordinates=False)))
     return P.scl_mask(df, policy) if policy else df
 
 
@@ -31,8 +31,11 @@ def cell_dekads(pixels: DataFrame, grid: GridSpec, factor: int = 1, policy: str
     df = pixel_indices(pixels, policy)
     if factor > 1:
         df = P.coarsen_blocks(df, factor, K.INDICES)
-    located = assign_grid_cell(P.drop_missing_all(df), grid).withColumn("dekad", assign_dekad(F.col("time")))
-    per_image = P.cell_means(located, ["tile_id", "time", "ix", "iy", "dekad"])
+    located = assign_grid_cell(df, grid).withColumn("dekad", assign_dekad(F.col("time")))
+    # Means skip missing pixels, so empty rows are dropped after the first
+    # reduction: before it, the test would evaluate every index a second time
+    # in one method too large for the JIT compiler.
+    per_image = P.drop_missing_all(P.cell_means(located, ["tile_id", "time", "ix", "iy", "dekad"]))
     return P.dedupe_overlaps(per_image)
 
 
@@ -92,7 +95,12 @@ RESULT_COLUMNS = ["ix", "iy", "cluster", "cluster_confidence", "habitat_suitabil
 
 
 def habitat_results(clustered: DataFrame) -> DataFrame:
-    """Scores from profiles that carry ``cluster`` and ``cluster_confidence``."""
-    scores = S.habitat_suitability(S.cluster_bird_scores(clustered))
-    out = score_results(clustered, scores)
+    """Scores from profiles that carry ``cluster`` and ``cluster_confidence``.
+
+    Every global range and percentile reads the profiles again, so they are
+    staged once, and so are the scores of the few clusters.
+    """
+    cells = stage(clustered, "clustered")
+    scores = stage(S.habitat_suitability(S.cluster_bird_scores(cells)), "suitability")
+    out = score_results(cells, scores)
     return out.select(*RESULT_COLUMNS, *S.trend_columns(out))

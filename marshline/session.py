@@ -28,7 +28,18 @@ def build_session(app: str = "marshline", master: str | None = None, **conf: str
     }
     for k, v in settings.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    return tune(b.getOrCreate())
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings for wide aggregations in any session.
+
+    The JVM never compiles methods over 8000 bytes of bytecode. Dozens of
+    aggregates fused into one generated method exceed that and would run
+    interpreted; with this limit such a stage falls back to small methods.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
