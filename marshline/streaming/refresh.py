@@ -26,10 +26,10 @@ def _write_batch(path: str):
 
 
 def scene_cell_sums(pixels: DataFrame, bbox, grid: GridSpec, nx: int, ny: int) -> DataFrame:
-    """Additive state of a pixel batch per tile, scene and cell."""
+    """Additive state of a pixel batch per tile, scene, date and cell."""
     masked = pixel_indices(C.pixels_by_tile(pixels, bbox, nx, ny), "prefetch")
     known = F.col("scl") > 0
-    return assign_grid_cell(masked, grid).groupBy("tile_id", "scene_id", "ix", "iy").agg(
+    return assign_grid_cell(masked, grid).groupBy("tile_id", "scene_id", "time", "ix", "iy").agg(
         *[F.sum(c).alias(f"{c}_sum") for c in K.INDICES], *[F.count(c).alias(f"{c}_n") for c in K.INDICES],
         F.count(F.when(known, 1)).alias("n_known"),
         F.count(F.when(known & F.col("scl").isin(K.SCL_CLOUD), 1)).alias("n_cloudy"))
@@ -57,8 +57,8 @@ def read_latest_cells(spark: SparkSession, out: str, scenes: DataFrame, bbox, no
                       max_days: int = K.PREFETCH_DAYS, scene_cloud: float = K.PREFETCH_SCENE_CLOUD,
                       candidates: int = K.MAX_SCENES) -> DataFrame:
     """Latest cell table from the folded sums: same answer as the batch plan."""
-    sums = spark.read.parquet(out)
     start = now - dt.timedelta(days=max_days)
+    sums = spark.read.parquet(out).where(F.col("time").between(F.lit(start), F.lit(now)))
     newest = Window.partitionBy("tile_id").orderBy(F.desc("datetime"), F.asc("scene_id"))
     recent = scenes.where(F.col("datetime").between(F.lit(start), F.lit(now)) & (F.col("cloud_cover") < scene_cloud))
     shortlist = (C.scenes_by_tile(recent, bbox, nx, ny).withColumn("rank", F.row_number().over(newest))
