@@ -166,12 +166,12 @@ def hash_take(df: DataFrame, ids: list[str], want: Column, strata: list[str] = (
     ``ids`` must identify rows; ``want`` may refer to ``total``, the number of
     rows in the stratum. A histogram of hash prefixes finds the prefix where the
     quota is met; only rows with that prefix are ranked. The table itself is
-    never sorted or shuffled.
+    never sorted or shuffled. Strata are few (labels): their quota table is
+    broadcast.
     """
-    keys = list(strata) or [_ALL]
-    src = df if strata else df.withColumn(_ALL, F.lit(0))
-    hashed = src.withColumn("_h", hash_text(ids, seed))
-    prefixed = hashed.withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    keys = list(strata)
+    hashed = df.withColumn("_h", hash_text(ids, seed))
+    prefixed = hashed.select(*keys, "_h").withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
     whole = Window.partitionBy(*keys)
     upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     hist = (
@@ -181,13 +181,18 @@ def hash_take(df: DataFrame, ids: list[str], want: Column, strata: list[str] = (
     )
     cuts = hist.where((F.col("cum") >= F.col("want")) & (F.col("cum") - F.col("c") < F.col("want"))).select(
         *keys, "_b", (F.col("want") - F.col("cum") + F.col("c")).alias("need"))
+    near = prefixed.join(F.broadcast(cuts), [*keys, "_b"])  # at most one row per stratum
     edge = (
-        prefixed.select(*keys, "_b", "_h").join(F.broadcast(cuts), [*keys, "_b"])
-        .withColumn("rn", F.row_number().over(whole.orderBy("_h")))
+        near.withColumn("rn", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_h")))
         .where(F.col("rn") == F.col("need")).select(*keys, F.col("_h").alias("_limit"))
     )
-    quota = (hist.groupBy(*keys).agg(F.max("want").alias("_want"), F.max("total").alias("_total"))
-             .join(edge, keys, "left"))
-    taken = (F.col("_want") >= F.col("_total")) | F.coalesce(F.col("_h") <= F.col("_limit"), F.lit(False))
-    return (hashed.join(F.broadcast(quota), keys).withColumn(name, taken)
-            .drop("_h", "_limit", "_want", "_total", _ALL))
+    # Hex keys sort below "g", so that limit takes every row.
+    last = F.when(F.col("_want") >= F.col("_total"), "g").otherwise(F.coalesce(F.col("_limit"), F.lit("")))
+    sizes = hist.groupBy(*keys).agg(F.max("want").alias("_want"), F.max("total").alias("_total"))
+    if keys:
+        limits = sizes.join(edge, keys, "left").select(*keys, last.alias("_last"))
+        marked = hashed.join(F.broadcast(limits), keys)
+    else:
+        limits = sizes.withColumn("_limit", edge.agg(F.max("_limit")).scalar()).select(last.alias("_last"))
+        marked = hashed.withColumn("_last", limits.scalar())
+    return marked.withColumn(name, F.col("_h") <= F.col("_last")).drop("_h", "_last")
