@@ -32,12 +32,13 @@ def build_session(app: str = "marshline", master: str | None = None, **conf: str
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Runtime settings for wide aggregations in any session.
+    """Runtime settings the operators rely on, for any session.
 
-    The JVM never compiles methods over 8000 bytes of bytecode. Dozens of
+    Dates and day windows are in UTC. The JVM never compiles methods over 8000 bytes of bytecode. Dozens of
     aggregates fused into one generated method exceed that and would run
     interpreted; with this limit such a stage falls back to small methods.
     """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
