@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures as X
 from catalog.registry import query, tidy
-from catalog.sqlkit import rcols, sql
+from catalog.sqlkit import CTES, avgs, iy, num, r6, rcols, sql
 from marshline import constants as K
 from marshline.functions import features as E
 from marshline.grid import with_centers
@@ -155,10 +155,29 @@ def score_aoi(spark, d):
     return summary.select("aoi_id", "n_cells", "mean_suitability", "max_suitability", "summary")
 
 
-@query("live_cells")
+_MONTH = f"BETWEEN DATE '{X.NOW - dt.timedelta(days=30)}' AND DATE '{X.NOW}'"
+CTES |= {
+    "live_in": (f"""SELECT aoi_id, (south + north) / 2 AS mid_lat, datetime, idx.* FROM idx
+        JOIN (SELECT scene_id, datetime FROM scn WHERE datetime {_MONTH} AND cloud_cover < 30) USING (scene_id)
+        JOIN aoi_b ON lon BETWEEN west AND east AND lat BETWEEN south AND north WHERE time {_MONTH}""", ["idx", "scn", "aoi_b"]),
+    "live_used": ("""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY datetime DESC, scene_id) AS rn FROM (
+        SELECT DISTINCT aoi_id, scene_id, datetime FROM live_in)) WHERE rn <= 50""", ["live_in"]),
+    "live_date": ("""SELECT aoi_id, datetime AS acquisition_date, n AS n_scenes FROM (SELECT aoi_id, datetime,
+        row_number() OVER (PARTITION BY aoi_id ORDER BY datetime) - 1 AS pos, count(*) OVER (PARTITION BY aoi_id) AS n FROM live_used)
+        WHERE pos = n // 2""", ["live_used"]),
+    "live_med": ("SELECT aoi_id, mid_lat, lon, lat, " + ", ".join(
+        f'median(CASE WHEN scl IN (4, 5, 6, 7, 11) THEN "{c}" END) AS "{c}"' for c in K.INDICES)
+        + " FROM live_in SEMI JOIN live_used USING (aoi_id, scene_id) GROUP BY aoi_id, mid_lat, lon, lat", ["live_in", "live_used"]),
+    "live_cell": (f"""SELECT aoi_id, CAST(floor(lon / ({num(X.GRID.cell_km)} / ({num(K.KM_PER_DEG_LON)} * cos(radians(mid_lat))))) AS BIGINT) AS cix,
+        {iy()} AS ciy, {avgs(K.INDICES)} FROM live_med GROUP BY 1, 2, 3 HAVING avg(water_mask) IS NOT NULL""", ["live_med"]),
+}
+
+
+@query("live_cells", sql(f"""SELECT aoi_id, cix AS ix, ciy AS iy, acquisition_date, n_scenes, {rcols(K.INDICES)}
+    FROM live_cell JOIN live_date USING (aoi_id)""", "live_cell", "live_date"))
 def live(spark, d):
     out = areas.live_cells(X.scenes(spark, d), X.pixels(spark, d), stage(X.aois(spark, d), "aois"), X.NOW, X.GRID)
-    return out.select("aoi_id", "ix", "iy", "acquisition_date", "n_scenes", *K.INDICES)
+    return tidy(out, ["aoi_id", "ix", "iy", "acquisition_date", "n_scenes"], K.INDICES)
 
 
 @query("stream_latest_cells", sql(f"SELECT ix, iy, {rcols(K.INDICES)} FROM latest_merged", "latest_merged"))
@@ -191,7 +210,6 @@ _EVENT_CTE = """WITH ev AS (SELECT CAST(floor((-90.60e0 + ((user_id % 240) % 20)
 
 
 def _event_sql() -> str:
-    from catalog.sqlkit import num, r6
     head = _EVENT_CTE.format(lon=num(X.GRID.cell_lon), lat=num(X.GRID.cell_lat))
     return head + (f"SELECT ix, iy, dekad, CAST(sum(n) AS BIGINT) AS n_observations, count(*) AS n_species, "
                    f"CAST(sum(n) AS BIGINT) AS n_individuals, {r6('-sum(p * ln(p + 1e-10))', 'shannon_diversity')} "

@@ -16,6 +16,7 @@ from marshline import constants as K
 from marshline.functions.features import scoring_features
 from marshline.functions.labels import suitability_class
 from marshline.operators.training import classifier_metrics, kfold
+from marshline.session import stage
 
 
 def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
@@ -96,7 +97,8 @@ def cross_validate(df: DataFrame, features: list[str] = K.MODEL_FEATURES, label:
     per_fold = None
     for i in range(k):
         model = train_presence_classifier(folds.where(F.col("fold") != i), features, label, **params)
-        held = presence_probability(folds.where(F.col("fold") == i), model, features, "score")
+        scored = presence_probability(folds.where(F.col("fold") == i), model, features, "score")
+        held = stage(scored.select("score", label), "held_out")  # the metrics read it several times
         row = classifier_metrics(held, "score", label).select(
             F.lit(i).alias("fold"), "roc_auc", "average_precision", F.col("present_f1").alias("f1"))
         per_fold = row if per_fold is None else per_fold.unionByName(row)
