@@ -21,7 +21,7 @@ GRID = GridSpec()
 NOW = dt.date(2025, 6, 30)
 # Box around all fixture sites, split 3 x 3 into study tiles.
 BOX = (-90.605, 28.995, -90.385, 29.115)
-# Six dates of the fixture calendar lie before 2020, so year filters do remove rows.
+# Moves 1995-2001 onto 2019-2025 with leap years aligned; year filters then remove rows.
 SHIFT_MONTHS = 288
 
 

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from catalog import fixtures as X
 from catalog.registry import query, rounded, tidy
-from catalog.sqlkit import (CTES, amplitude_list, as_list, cluster_label_sql, condition_sql, coverage_sql, cx, cy, dekad,
-                            diversity_text, hashed, ix, iy, num, pmod, r6, rcols, score_text, season, sql, suit_class,
+from catalog.sqlkit import (cluster_label_sql, condition_sql, coverage_sql, cx, cy, diversity_text, num, r6, rcols, score_text, sql, suit_class,
                             temporal, tiles_sql, trend_text)
 from marshline import constants as K
 from marshline.functions import casting as A, dates as D, features as E, geometry as G, labels as L, spectral as S
-from marshline.grid import assign_grid_cell, cell_polygon, in_bbox, split_bbox_tiles, split_periods, tile_ids
+from marshline.grid import assign_grid_cell, cell_polygon, in_bbox, split_bbox_tiles, split_periods
 from marshline.operators import pixels as P, scenes as C, sightings as B
 from marshline.plans import habitat as H
 

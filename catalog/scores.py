@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from catalog import fixtures as X
 from catalog.registry import query, rounded, tidy
 from catalog.scalars import AREA_SQL
-from catalog.sqlkit import (CTES, as_list, avgs, cluster_label_sql, condition_sql, coverage_sql, cx, cy, diversity_text, hashed,
-                            notable_text, num, pmod, r6, rcols, scale, score_text, sql, temporal, trend_text)
+from catalog.sqlkit import (CTES, avgs, cluster_label_sql, condition_sql, coverage_sql, cx, cy, diversity_text, hashed,
+                            notable_text, num, pmod, r6, rcols, scale, score_text, sql, trend_text)
 from marshline import constants as K
 from marshline.functions import features as E
 from marshline.grid import with_centers

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures as X
 from catalog.registry import query, rounded, tidy
-from catalog.sqlkit import CTES, IDX, avgs, ix, iy, num, r6, rcols, sql, tiles_sql
+from catalog.sqlkit import CTES, IDX, avgs, r6, rcols, sql, tiles_sql
 from marshline import constants as K
 from marshline.operators import pixels as P, scenes as C, sightings as B
-from marshline.plans import areas, habitat as H
+from marshline.plans import areas
 from marshline.session import new_path
 from marshline.sources import tables as T
 

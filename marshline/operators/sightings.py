@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marshline import constants as K
-from marshline.functions.casting import coerce_count, coerce_date, coerce_numeric
+from marshline.functions.casting import coerce_count, coerce_date
 from marshline.functions.dates import assign_dekad
 from marshline.grid import GridSpec, assign_grid_cell, in_bbox
 
