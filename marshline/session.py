@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -46,14 +47,17 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and staged tables.
 
-    On a cluster this is the shared ``spark.checkpoint.dir`` the session names.
-    Only where that is unset (single-machine tests) a temporary folder is used.
+    On a cluster this is the shared ``spark.checkpoint.dir`` the session names;
+    without that setting it is an error, since executors do not share a local
+    folder. In local mode a temporary folder stands in.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="spark-")
