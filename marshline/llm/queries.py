@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marshline.llm import chat, langid, sketch, tokens
+from marshline.llm import chat, decontaminate, langid, packing, sketch, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,13 @@ FROM sets LEFT JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) ON x = doc_id"
 @query("op10_similarity_sketch", NEAR_SQL)
 def op10_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_sequence_packing")
+def op3_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op1_edit_leaks")
+def op1_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
