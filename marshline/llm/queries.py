@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marshline.llm import chat, decontaminate, langid, packing, sketch, tokens
+from marshline.llm import chat, decontaminate, langid, packing, repeats, sketch, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,24 @@ def op3_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_edit_leaks")
 def op1_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+REPEATS_SQL = r"""
+WITH words AS MATERIALIZED (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+windows AS MATERIALIZED (
+  SELECT doc_id, p, array_to_string(list_slice(ws, p, p + 49), ' ') AS w
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM words WHERE len(ws) >= 50)),
+firsts AS (SELECT w, min(doc_id) AS lo FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
+covered AS (SELECT doc_id, list_distinct(flatten(list(range(p, p + 50)))) AS places
+  FROM windows JOIN firsts USING (w) WHERE doc_id > lo GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, len(ws) AS n_words, CASE WHEN places IS NULL THEN ws
+         ELSE list_filter(ws, lambda w, i: NOT list_contains(places, i)) END AS left_words
+  FROM words LEFT JOIN covered USING (doc_id))
+SELECT doc_id, n_words, n_words - len(left_words) AS n_removed, sha256(array_to_string(left_words, ' ')) AS kept_sha256 FROM kept"""
+
+
+@query("op6_seed_and_extend", REPEATS_SQL)
+def op6_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
