@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marshline.llm import chat, decontaminate, langid, packing, repeats, sketch, tokens
+from marshline.llm import chat, decontaminate, langid, packing, pii, repeats, sketch, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,8 @@ SELECT doc_id, n_words, n_words - len(left_words) AS n_removed, sha256(array_to_
 @query("op6_seed_and_extend", REPEATS_SQL)
 def op6_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op7_context_bootstrap")
+def op7_context_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
