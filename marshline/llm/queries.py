@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marshline.llm import chat, decontaminate, langid, multiindex, packing, pii, repeats, sketch, tokens
+from marshline.llm import chat, decontaminate, langid, multiindex, packing, pii, repeats, sketch, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +139,76 @@ LEFT JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) r ON r.x = vec_id"""
 @query("op5_multi_index", VECTOR_SQL)
 def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Three captures of each page: a full response, a revisit a day later and one an hour earlier, by URLs that mean the same."""
+    page, html = F.col("page_id"), F.coalesce(F.col("html"), F.lit(""))
+    seconds = F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + page * 7919 % 2_000_000
+    tag = F.concat(F.lit('"'), F.substring(F.md5(html), 1, 12), F.lit('"'))
+    day = F.concat(F.lit("day "), (page % 30).cast("string"))
+
+    def text(c):
+        return F.lit(c) if isinstance(c, str) else c
+
+    def row(n, url, at, status, headers):
+        pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), text(v).alias("value")) for k, v in headers.items()]), lambda e: e["value"].isNotNull())
+        return F.struct((page * 4 + n).alias("record_id"), url.alias("url"), F.timestamp_seconds(at).alias("time"), F.lit(status).alias("status"),
+                        F.map_from_entries(pairs).alias("headers"))
+
+    url = F.col("url")
+    rows = F.array(
+        row(0, url, seconds, 200, {"Content-Type": "text/html", "Content-Length": F.octet_length(html).cast("string"), "ETag": F.when(page % 7 != 0, tag),
+                                   "Last-Modified": day, "Cache-Control": "max-age=60"}),
+        row(1, F.concat(url, F.lit("#again")), seconds + 86400, 304, {
+            "ETag": F.when(page % 5 == 0, '"other"').otherwise(F.concat(F.lit("W/"), tag)), "Content-Length": "0",
+            "cache-control": F.concat(F.lit("max-age="), (page % 100).cast("string")), "Date": F.concat(F.lit("d"), page.cast("string"))}),
+        row(2, F.concat(url, F.when(F.contains(url, F.lit("?")), "&").otherwise("?"), F.lit("utm_medium=mail")), seconds - 3600, 304, {"last-modified": day}))
+    return pages.select(F.inline(rows))
+
+
+REVISIT_SQL = r"""
+WITH base AS (
+  SELECT page_id, url, coalesce(html, '') AS html, TIMESTAMP '2024-01-01' + to_seconds(page_id * 7919 % 2000000) AS t,
+         '"' || substr(md5(coalesce(html, '')), 1, 12) || '"' AS tag, 'day ' || (page_id % 30) AS day FROM pages),
+records AS (
+  SELECT page_id * 4 AS record_id, url, t AS time, 200 AS status, CASE WHEN page_id % 7 <> 0 THEN tag END AS etag, day AS lm, 'max-age=60' AS cc,
+         CAST(strlen(html) AS VARCHAR) AS size, NULL AS date FROM base
+  UNION ALL SELECT page_id * 4 + 1, url || '#again', t + INTERVAL 1 DAY, 304, CASE WHEN page_id % 5 = 0 THEN '"other"' ELSE 'W/' || tag END, NULL,
+         'max-age=' || (page_id % 100), '0', 'd' || page_id FROM base
+  UNION ALL SELECT page_id * 4 + 2, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_medium=mail', t - INTERVAL 1 HOUR, 304, NULL, day,
+         NULL, NULL, NULL FROM base),
+bare AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM records),
+canon AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '')
+         || regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '')
+         || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS c
+  FROM (SELECT *, list_sort(list_filter(string_split(regexp_extract(b, '^[^?]*\?(.*)$', 1), '&'), lambda p: p <> '' AND
+               NOT regexp_matches(lower(p), '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) AS q FROM bare)),
+pairs AS (
+  SELECT v.record_id, v.url, v.time, v.etag, v.lm, v.cc, v.date, f.record_id AS response_id, f.etag AS f_etag, f.lm AS f_lm, f.cc AS f_cc, f.size AS f_size,
+         row_number() OVER (PARTITION BY v.record_id ORDER BY f.time DESC NULLS LAST, f.record_id DESC) AS rn
+  FROM canon v LEFT JOIN (SELECT * FROM canon WHERE status = 200) f ON v.c = f.c AND f.time < v.time WHERE v.status = 304),
+judged AS (
+  SELECT *, CASE WHEN response_id IS NULL THEN 'no_response'
+                 WHEN etag IS NOT NULL AND f_etag IS NOT NULL
+                   THEN CASE WHEN regexp_replace(etag, '^W/', '') = f_etag THEN 'resolved' ELSE 'validator_mismatch' END
+                 WHEN lm IS NOT NULL AND f_lm IS NOT NULL THEN CASE WHEN lm = f_lm THEN 'resolved' ELSE 'validator_mismatch' END
+                 ELSE 'resolved' END AS outcome
+  FROM pairs WHERE rn = 1)
+SELECT record_id, url, strftime(time, '%Y-%m-%d %H:%M:%S') AS time, response_id, outcome, CASE WHEN outcome = 'resolved' THEN array_to_string(list_filter([
+         'cache-control: ' || coalesce(cc, f_cc), 'content-length: ' || f_size, 'content-type: text/html', 'date: ' || date,
+         'etag: ' || coalesce(etag, f_etag), 'last-modified: ' || coalesce(lm, f_lm)], lambda x: x IS NOT NULL), chr(10)) END AS headers
+FROM judged"""
+
+
+@query("op2_revisit_resolution", REVISIT_SQL)
+def op2_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = warc.resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    return resolved.withColumn("time", F.date_format("time", "yyyy-MM-dd HH:mm:ss")).withColumn("headers", F.array_join("headers", "\n"))
