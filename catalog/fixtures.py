@@ -73,13 +73,14 @@ def indices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _raw_sightings(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of ``lineitem``; those of a third of the sites are reported from far outside the study area, so their cells stay quiet."""
     ok, ln = F.col("l_orderkey"), F.col("l_linenumber")
     site = F.col("l_partkey") % 240
     return (
-        table(spark, d, "lineitem").where((F.col("l_suppkey") % 4 == 0) & (site % 3 != 0))
+        table(spark, d, "lineitem")
         .join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .select(
-            F.when(ok % 37 == 0, _lon(site, ok) - 5).otherwise(_lon(site, ok)).alias("lon"),
+            F.when((ok % 37 == 0) | (site % 3 == 0), _lon(site, ok) - 5).otherwise(_lon(site, ok)).alias("lon"),
             _lat(site, ln).alias("lat"),
             F.when(ok % 53 == 0, "not-a-date").otherwise(shifted("l_shipdate").cast("string")).alias("date_str"),
             F.when(ok % 41 != 0, F.col("p_name")).alias("species"),

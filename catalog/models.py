@@ -160,7 +160,7 @@ CTES |= {
         JOIN (SELECT scene_id, datetime FROM scn WHERE datetime {_MONTH} AND cloud_cover < 30) USING (scene_id)
         JOIN aoi_b ON lon BETWEEN west AND east AND lat BETWEEN south AND north WHERE time {_MONTH}""", ["idx", "scn", "aoi_b"]),
     "live_used": ("""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY datetime DESC, scene_id) AS rn FROM (
-        SELECT DISTINCT aoi_id, scene_id, datetime FROM live_in)) WHERE rn <= 50""", ["live_in"]),
+        SELECT DISTINCT aoi_id, scene_id, datetime FROM live_in))""", ["live_in"]),
     "live_date": ("""SELECT aoi_id, datetime AS acquisition_date, n AS n_scenes FROM (SELECT aoi_id, datetime,
         row_number() OVER (PARTITION BY aoi_id ORDER BY datetime) - 1 AS pos, count(*) OVER (PARTITION BY aoi_id) AS n FROM live_used)
         WHERE pos = n // 2""", ["live_used"]),
@@ -217,10 +217,10 @@ def _event_sql() -> str:
 
 @query("stream_bird_metrics", _event_sql())
 def stream_birds(spark, d):
-    """Sightings arrive as files in time order; the roll-up equals a batch run."""
+    """Sightings arrive as files, the latest days first; the roll-up equals a batch run."""
     source, out, check = (new_path(spark, n) for n in ("events_in", "events_out", "events_check"))
     ev = event_sightings(spark, d)
-    ev.repartitionByRange(4, "ts").write.parquet(source)
-    R.stream_bird_metrics(spark, source, ev.schema, out, check, X.GRID, watermark="40 days", max_files=2).awaitTermination()
+    ev.repartitionByRange(4, F.desc("ts")).write.parquet(source)
+    R.stream_bird_metrics(spark, source, ev.schema, out, check, X.GRID, max_files=2).awaitTermination()
     return tidy(R.read_bird_metrics(spark, out), ["ix", "iy", "dekad", "n_observations", "n_species", "n_individuals"],
                 ["shannon_diversity"])

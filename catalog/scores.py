@@ -259,10 +259,7 @@ def split(spark, d):
     return L.stratified_split(df).select(*_ROW, "label", "is_test")
 
 
-_HEX8 = " + ".join(f"(instr('0123456789abcdef', substr({_H}, {i}, 1)) - 1) * {16 ** (8 - i)}" for i in range(1, 9))
-
-
-@query("kfold", sql(f"SELECT fold, label, count(*) AS n_rows FROM (SELECT CAST(({_HEX8}) % 5 AS INTEGER) AS fold, label FROM train) "
+@query("kfold", sql(f"SELECT fold, label, count(*) AS n_rows FROM (SELECT CAST((row_number() OVER (PARTITION BY label ORDER BY {_H}) - 1) % 5 AS INTEGER) AS fold, label FROM train) "
                     "GROUP BY fold, label", "train"))
 def folds(spark, d):
     df = X.model_input(spark, d).withColumn("label", L.has_birds().cast("int"))

@@ -244,13 +244,13 @@ CTES: dict[str, tuple[str, list[str]]] = {
             f"WHERE year(time) BETWEEN {K.YEAR_MIN} AND {K.YEAR_MAX} GROUP BY ALL", ["idx"]),
     "sat": (f"SELECT *, {temporal('dekad')} FROM (SELECT ix, iy, dekad, {avgs(K.INDICES)} FROM img GROUP BY ALL)",
             ["img"]),
-    "rawsight": (f"""SELECT CASE WHEN l_orderkey % 37 = 0 THEN {_lon} - 5e0 ELSE {_lon} END AS lon, {_lat} AS lat,
+    "rawsight": (f"""SELECT CASE WHEN l_orderkey % 37 = 0 OR {_site} % 3 = 0 THEN {_lon} - 5e0 ELSE {_lon} END AS lon, {_lat} AS lat,
         {shift('l_shipdate')} AS day, l_orderkey % 53 <> 0 AS dated,
         CASE WHEN l_orderkey % 41 <> 0 THEN p_name END AS species, p_brand AS brand, p_type AS type,
         CASE WHEN l_orderkey % 23 = 0 THEN 1 ELSE CAST(l_quantity AS BIGINT) END AS cnt,
         CASE WHEN l_orderkey % 29 = 0 AND l_linenumber > 5 THEN 'Insecta' ELSE 'Aves' END AS taxon,
         l_linenumber <= 5 AS is_ebird, l_orderkey, l_quantity
-        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 4 = 0 AND {_site} % 3 <> 0""", []),
+        FROM lineitem JOIN part ON l_partkey = p_partkey""", []),
     "obs": (f"""SELECT {ix()} AS ix, {iy()} AS iy, {dekad('day')} AS dekad, species,
         CASE WHEN is_ebird THEN brand END AS "order", CASE WHEN is_ebird THEN type END AS family,
         CASE WHEN is_ebird THEN cnt ELSE 1 END AS "count", CASE WHEN is_ebird THEN 'ebird' ELSE 'inat' END AS source

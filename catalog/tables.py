@@ -86,7 +86,7 @@ def enriched(spark, d):
 
 @query("search_scenes", sql("""SELECT scene_id, datetime, cloud_cover FROM scn WHERE cloud_cover < 30
     AND datetime BETWEEN DATE '2025-05-31' AND DATE '2025-06-30' AND west <= -90.45e0 AND east >= -90.55e0
-    AND south <= 29.07e0 AND north >= 29.02e0 ORDER BY datetime DESC, scene_id LIMIT 50""", "scn"))
+    AND south <= 29.07e0 AND north >= 29.02e0 ORDER BY datetime DESC, scene_id""", "scn"))
 def search(spark, d):
     return C.search_scenes(X.scenes(spark, d), (-90.55, 29.02, -90.45, 29.07), X.NOW - dt.timedelta(days=30), X.NOW).select(
         "scene_id", "datetime", "cloud_cover")
@@ -171,7 +171,7 @@ CTES |= {
     "recent_scn": (f"SELECT * FROM scn WHERE cloud_cover < 40 AND datetime {_RECENT}", ["scn"]),
     "scn_tile": (tiles_sql("recent_scn", "west", "east", "south", "north", "scene_id, datetime, cloud_cover"), ["recent_scn"]),
     "short": ("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY datetime DESC, scene_id) AS rn "
-              "FROM scn_tile) WHERE rn <= 50", ["scn_tile"]),
+              "FROM scn_tile)", ["scn_tile"]),
     "recent_idx": (f"SELECT * FROM idx WHERE time {_RECENT}", ["idx"]),
     "idx_tile": (tiles_sql("recent_idx", "lon", "lon", "lat", "lat", f"scene_id, scl, ix, iy, {IDX}"), ["recent_idx"]),
     "share": ("SELECT tile, scene_id, coalesce(avg(CASE WHEN scl > 0 THEN CAST(scl IN (8, 9, 10) AS INTEGER) END), 1e0) AS cf "

@@ -104,9 +104,8 @@ PROBABILITY_BANDS = [
 OPEN_WATER = "Open water"
 
 # --- fixed values: scene search ------------------------------------------------
-LIVE_MAX_CLOUD, LIVE_DAYS, MAX_SCENES = 30, 30, 50
+LIVE_MAX_CLOUD, LIVE_DAYS = 30, 30
 PREFETCH_SCENE_CLOUD, PREFETCH_AOI_CLOUD, PREFETCH_DAYS = 40, 15, 180
-COMPOSITE_MAX_CLOUD = 10
 
 # --- fixed values: report texts --------------------------------------------------
 TREND_STABLE = "Stable"

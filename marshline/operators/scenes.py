@@ -17,11 +17,18 @@ def bbox_intersects(bbox) -> Column:
 
 
 def search_scenes(scenes: DataFrame, bbox, start: dt.date, end: dt.date, max_cloud: float = K.LIVE_MAX_CLOUD,
-                  limit: int = K.MAX_SCENES, inclusive: bool = False) -> DataFrame:
-    """Newest scenes that touch ``bbox`` in a date range under a cloud limit."""
+                  limit: int | None = None, inclusive: bool = False) -> DataFrame:
+    """Scenes that touch ``bbox`` in a date range under a cloud limit, newest first; only ``limit`` of them if given."""
     clear = F.col("cloud_cover") <= max_cloud if inclusive else F.col("cloud_cover") < max_cloud
-    return (scenes.where(F.col("datetime").between(F.lit(start), F.lit(end)) & clear & bbox_intersects(bbox))
-            .orderBy(F.desc("datetime"), "scene_id").limit(limit))
+    found = (scenes.where(F.col("datetime").between(F.lit(start), F.lit(end)) & clear & bbox_intersects(bbox))
+             .orderBy(F.desc("datetime"), "scene_id"))
+    return found if limit is None else found.limit(limit)
+
+
+def in_window(df: DataFrame, start: dt.date, end: dt.date, date: str = "time") -> DataFrame:
+    """Rows in a date range; a ``year`` column is tested too, so tables partitioned by year are pruned."""
+    rows = df.where(F.col(date).between(F.lit(start), F.lit(end)))
+    return rows.where(F.col("year").between(start.year, end.year)) if "year" in df.columns else rows
 
 
 def scenes_by_tile(scenes: DataFrame, bbox, nx: int, ny: int) -> DataFrame:
@@ -36,26 +43,32 @@ def pixels_by_tile(pixels: DataFrame, bbox, nx: int, ny: int) -> DataFrame:
     return pixels.drop("tile_id").withColumn("tile_id", F.explode(ids))
 
 
+def newest_per(scenes: DataFrame, newest, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows of the window, or all rows without a limit."""
+    if limit is None:
+        return scenes
+    return scenes.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= limit).drop("rank")
+
+
 def clearest_scene_per_tile(scenes: DataFrame, pixels: DataFrame, bbox, now: dt.date,
                             nx: int = K.TILES_X, ny: int = K.TILES_Y,
                             max_cloud: float = K.PREFETCH_AOI_CLOUD, max_days: int = K.PREFETCH_DAYS,
                             scene_cloud: float = K.PREFETCH_SCENE_CLOUD,
-                            candidates: int = K.MAX_SCENES) -> DataFrame:
+                            candidates: int | None = None) -> DataFrame:
     """Newest scene per tile whose cloud share inside the tile is low enough.
 
-    Only the newest ``candidates`` scenes per tile are considered. The candidate
-    list (candidates x tiles rows) cuts the pixel scan down before it is
-    aggregated; rank limits are applied map-side.
+    All recent scenes are considered, or the newest ``candidates`` per tile if
+    given. The list of recent scenes cuts the pixel scan down before it is
+    aggregated.
     """
     start = now - dt.timedelta(days=max_days)
     recent = scenes.where(F.col("datetime").between(F.lit(start), F.lit(now))
                           & (F.col("cloud_cover") < scene_cloud))
     newest = Window.partitionBy("tile_id").orderBy(F.desc("datetime"), F.asc("scene_id"))
-    shortlist = (scenes_by_tile(recent, bbox, nx, ny)
-                 .withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= candidates)
-                 .select("tile_id", "scene_id", "datetime", "cloud_cover"))
+    shortlist = newest_per(scenes_by_tile(recent, bbox, nx, ny), newest, candidates).select(
+        "tile_id", "scene_id", "datetime", "cloud_cover")
     seen = pixels_by_tile(
-        pixels.where(F.col("time").between(F.lit(start), F.lit(now)) & F.col("scl").isNotNull()), bbox, nx, ny)
+        in_window(pixels, start, now).where(F.col("scl").isNotNull()), bbox, nx, ny)
     share = cloud_fraction(seen.join(shortlist.select("tile_id", "scene_id"), ["tile_id", "scene_id"], "left_semi"),
                            ["tile_id", "scene_id"])
     clear = shortlist.join(share, ["tile_id", "scene_id"]).where(F.col("cloud_fraction") * 100 <= max_cloud)

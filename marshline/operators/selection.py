@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from marshline.functions.casting import nan_to_null
 from marshline.session import stage
 
 _ALL = "_all"
@@ -92,20 +93,25 @@ def grouped_medians(df: DataFrame, keys: list[str], cols: list[str], hot_rows: i
 
     The built-in median keeps a key's distinct values in one task. Keys with
     more than ``hot_rows`` rows (one eager count over the key columns) take the
-    bracketed route instead. ``hot_rows=None`` skips the check where the caller
-    knows a bound.
+    bracketed route instead, with the same results: NULL and NaN are left out,
+    a key without values keeps its row, and NULL is a key like any other.
+    ``hot_rows=None`` skips the check where the caller knows a bound.
     """
+    # One struct as the key: a missing part equals a missing part in joins too.
+    keyed = df.select(F.struct(*keys).alias("_key"), *[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
+
     def plain(part: DataFrame) -> DataFrame:
-        return part.groupBy(*keys).agg(*[F.median(c).alias(c) for c in cols])
+        return part.groupBy("_key").agg(*[F.median(c).alias(c) for c in cols])
 
     if hot_rows is None:
-        return plain(df)
-    hot = stage(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).drop("_n"), "hot")
+        return plain(keyed).select("_key.*", *cols)
+    hot = stage(keyed.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).drop("_n"), "hot")
     if hot.isEmpty():
-        return plain(df)
-    big = exact_percentiles(df.join(hot, keys, "left_semi"), cols, [0.5], keys, few_groups=False)
-    named = big.select(*keys, *[F.col(percentile_name(c, 0.5)).alias(c) for c in cols])
-    return plain(df.join(hot, keys, "left_anti")).unionByName(named)
+        return plain(keyed).select("_key.*", *cols)
+    big = exact_percentiles(keyed.join(hot, "_key", "left_semi"), cols, [0.5], ["_key"], few_groups=False)
+    named = big.select("_key", *[F.col(percentile_name(c, 0.5)).alias(c) for c in cols])
+    # A hot key without any value has no percentile and stays with missing medians.
+    return plain(keyed.join(hot, "_key", "left_anti")).unionByName(hot.join(named, "_key", "left")).select("_key.*", *cols)
 
 
 def percentile_struct(df: DataFrame, cols: list[str], probs: list[float]) -> Column:
@@ -165,12 +171,13 @@ def hash_take(df: DataFrame, ids: list[str], want: Column, strata: list[str] = (
 
     ``ids`` must identify rows; ``want`` may refer to ``total``, the number of
     rows in the stratum. A histogram of hash prefixes finds the prefix where the
-    quota is met; only rows with that prefix are ranked. The table itself is
-    never sorted or shuffled. Strata are few (labels): their quota table is
+    quota is met; only rows with that prefix are ranked. The table is staged
+    once with its hash and never sorted or shuffled; the histogram and the cut
+    read the hash column alone. Strata are few (labels): their quota table is
     broadcast.
     """
     keys = list(strata)
-    hashed = df.withColumn("_h", hash_text(ids, seed))
+    hashed = stage(df.withColumn("_h", hash_text(ids, seed)), "hashed")
     prefixed = hashed.select(*keys, "_h").withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
     whole = Window.partitionBy(*keys)
     upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)

@@ -42,9 +42,10 @@ def resolve_column_aliases(df: DataFrame) -> DataFrame:
 
 
 def filter_years(df: DataFrame, lo: int = K.YEAR_MIN, hi: int = K.YEAR_MAX, date: str = "date") -> DataFrame:
-    """Rows whose year lies in ``lo..hi``, as a date range so scans can prune."""
-    return df.where(F.col(date).between(F.make_date(F.lit(lo), F.lit(1), F.lit(1)),
+    """Rows whose year lies in ``lo..hi``; a ``year`` column is tested too, so tables partitioned by year are pruned."""
+    rows = df.where(F.col(date).between(F.make_date(F.lit(lo), F.lit(1), F.lit(1)),
                                         F.make_date(F.lit(hi), F.lit(12), F.lit(31))))
+    return rows.where(F.col("year").between(lo, hi)) if "year" in df.columns else rows
 
 
 def filter_taxon(df: DataFrame, taxon: str = "Aves", col: str = "iconic_taxon_name") -> DataFrame:

@@ -61,7 +61,7 @@ def calibrate_isotonic(df: DataFrame, features: list[str] = K.MODEL_FEATURES, la
     Held-out scores are pooled to distinct values with weights first, which
     leaves the isotonic fit unchanged and its input small.
     """
-    folds = kfold(df, k)
+    folds = stage(kfold(df, k, label), "folds")
     pairs = []
     for i in range(k):
         model = train_presence_classifier(folds.where(F.col("fold") != i), features, label, **params)
@@ -93,7 +93,7 @@ def feature_importance_rank(spark: SparkSession, model, features: list[str] = K.
 def cross_validate(df: DataFrame, features: list[str] = K.MODEL_FEATURES, label: str = "label", k: int = 5,
                    **params) -> DataFrame:
     """Mean and deviation of AUC, average precision and F1 over k folds."""
-    folds = kfold(df, k)
+    folds = stage(kfold(df, k, label), "folds")
     per_fold = None
     for i in range(k):
         model = train_presence_classifier(folds.where(F.col("fold") != i), features, label, **params)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marshline import constants as K
 from marshline.functions.labels import probability_band
 from marshline.operators.pixels import drop_missing_all
-from marshline.operators.selection import exact_percentiles, hash_bucket, hash_take, running_totals
+from marshline.operators.selection import exact_percentiles, hash_bucket, hash_take, hash_text, running_totals
 
 CELL = ["ix", "iy"]
 ROW = ["ix", "iy", "dekad"]
+# Hash buckets whose rows are ranked one by one when folds are dealt.
+FOLD_BUCKETS = 4096
 
 
 def has_birds() -> Column:
@@ -86,9 +88,18 @@ def stratified_split(df: DataFrame, test: float = 0.2, label: str = "label", ids
     return hash_take(df, list(ids), want, [label], seed, "is_test")
 
 
-def kfold(df: DataFrame, k: int = 5, ids: list[str] = ROW, seed: int = 42) -> DataFrame:
-    """Fold number ``0..k-1`` from the row's hash; no shuffle."""
-    return df.withColumn("fold", hash_bucket(list(ids), seed, k))
+def kfold(df: DataFrame, k: int = 5, label: str = "label", ids: list[str] = ROW, seed: int = 42) -> DataFrame:
+    """Stratified fold number ``0..k-1``: the rows of each label in order of their hash are dealt in turn, so folds differ by one row at most.
+
+    Ranks are counted within hash buckets and shifted by the sizes of the buckets before, so no label is one task.
+    """
+    placed = df.withColumns({"_h": hash_text(list(ids), seed), "_b": hash_bucket(list(ids), seed, FOLD_BUCKETS)})
+    before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    shift = placed.groupBy(label, "_b").agg(F.count("*").alias("_n")).select(
+        label, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(label, "_b").orderBy("_h", *ids)
+    ranked = placed.withColumn("_rank", F.row_number().over(inside) - 1).join(shift, [label, "_b"])
+    return ranked.withColumn("fold", ((F.col("_rank") + F.col("_before")) % k).cast("int")).drop("_h", "_b", "_rank", "_before")
 
 
 def feature_thresholds(df: DataFrame, features: list[str] = K.INDICES, label: str = "label") -> DataFrame:

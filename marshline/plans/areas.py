@@ -17,7 +17,7 @@ def latest_tile_cells(pixels: DataFrame, chosen: DataFrame, bbox, grid: GridSpec
                       nx: int = K.TILES_X, ny: int = K.TILES_Y, max_days: int = K.PREFETCH_DAYS) -> DataFrame:
     """Mean indices per tile and cell from each tile's chosen scene."""
     start = now - dt.timedelta(days=max_days)
-    recent = pixels.where(F.col("time").between(F.lit(start), F.lit(now)))
+    recent = C.in_window(pixels, start, now)
     picked = C.pixels_by_tile(recent, bbox, nx, ny).join(
         chosen.select("tile_id", "scene_id"), ["tile_id", "scene_id"], "left_semi")
     located = assign_grid_cell(pixel_indices(picked, "prefetch"), grid)
@@ -44,23 +44,22 @@ def analyze_aoi(results: DataFrame, profiles: DataFrame, aois: DataFrame, grid:
 
 def live_cells(scenes: DataFrame, pixels: DataFrame, aois: DataFrame, now: dt.date, grid: GridSpec,
                days: int = K.LIVE_DAYS, max_cloud: float = K.LIVE_MAX_CLOUD,
-               limit: int = K.MAX_SCENES) -> DataFrame:
+               limit: int | None = None) -> DataFrame:
     """Cells for areas straight from recent scenes, on each area's own grid.
 
-    Each area uses its newest ``limit`` scenes: per-pixel medians over them,
-    then cell means. Cells cover the area's bounding box.
+    Each area uses all scenes of the window, or its newest ``limit`` if given:
+    per-pixel medians over them, then cell means. Cells cover the area's bounding box.
     """
     start = now - dt.timedelta(days=days)
     window = F.lit(start), F.lit(now)
     clear = scenes.where(F.col("datetime").between(*window) & (F.col("cloud_cover") < max_cloud)).select(
         "scene_id", "datetime")
-    recent = pixels.where(F.col("time").between(*window)).join(clear, "scene_id")
+    recent = C.in_window(pixels, start, now).join(clear, "scene_id")
     framed = aois.withColumn("_b", G.polygon_bounds(F.col("polys"))).withColumn(
         "mid_lat", (F.col("_b.south") + F.col("_b.north")) / 2).drop("_b")
     inside = A.spatial_join(recent, framed, grid, "lon", "lat", refine=False)
     newest = Window.partitionBy("aoi_id").orderBy(F.desc("datetime"), F.asc("scene_id"))
-    used = (inside.select("aoi_id", "scene_id", "datetime").distinct()
-            .withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= limit).drop("rank"))
+    used = C.newest_per(inside.select("aoi_id", "scene_id", "datetime").distinct(), newest, limit)
     dates = C.middle_scene_date(used, ["aoi_id"]).withColumnRenamed("middle_date", "acquisition_date")
     masked = pixel_indices(inside, "live").join(used.select("aoi_id", "scene_id"), ["aoi_id", "scene_id"], "left_semi")
     medians = P.temporal_median(masked, ["aoi_id", "mid_lat", "lon", "lat"], hot_rows=None)

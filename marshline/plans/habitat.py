@@ -48,7 +48,7 @@ def model_input(pixels: DataFrame, observations: DataFrame | None, grid: GridSpe
     from the observations.
     """
     px = B.filter_years(pixels, *years, date="time")
-    if tiles:
+    if tiles is not None:
         px = px.where(F.col("tile_id").isin(tiles))
     sat = temporal_features(cell_dekads(px, grid, factor, policy))
     if observations is not None:

@@ -20,9 +20,9 @@ def read_pixels(spark: SparkSession, path: str, tiles: list[int] | None = None,
                 years: list[int] | None = None) -> DataFrame:
     """Pixels of the selected tiles and years; both prune partitions."""
     df = spark.read.parquet(path)
-    if tiles:
+    if tiles is not None:
         df = df.where(F.col("tile_id").isin([int(t) for t in tiles]))
-    if years:
+    if years is not None:
         df = df.where(F.col("year").isin([int(y) for y in years]))
     return normalise_nulls(df)
 
@@ -32,10 +32,18 @@ def read_delimited_sightings(spark: SparkSession, path: str) -> DataFrame:
 
     The delimiter is a tab when the header has one, else a comma. Rows with more
     fields than the header are dropped, shorter ones padded, missing-value texts
-    become NULL. Only the header line is looked at eagerly.
+    become NULL. Only the header lines are looked at eagerly: of several files,
+    all must have the same one.
     """
-    lines = unwrap_quoted_lines(spark.read.text(path)).where(F.col("value") != "")
-    header = lines.first()["value"]
+    text = spark.read.text(path)
+    lines = unwrap_quoted_lines(text).where(F.col("value") != "")
+    starts = (unwrap_quoted_lines(text.where(F.col("_metadata.file_block_start") == 0)
+                                  .select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line")))
+              .where(F.col("value") != "").groupBy("_file").agg(F.min_by("value", "_line").alias("header")))
+    headers = [r["header"] for r in starts.select("header").distinct().limit(2).collect()]
+    if len(headers) != 1:
+        raise ValueError(f"files with different headers, or none, in {path}: {headers}")
+    header = headers[0]
     sep = "\t" if "\t" in header else ","
     names = [c.strip().strip('"').strip("'") for c in header.split(sep)]
     while names and not names[-1]:

@@ -55,14 +55,13 @@ def stream_latest_cells(spark: SparkSession, source: str, schema, out: str, chec
 def read_latest_cells(spark: SparkSession, out: str, scenes: DataFrame, bbox, now: dt.date, grid: GridSpec,
                       nx: int = K.TILES_X, ny: int = K.TILES_Y, max_cloud: float = K.PREFETCH_AOI_CLOUD,
                       max_days: int = K.PREFETCH_DAYS, scene_cloud: float = K.PREFETCH_SCENE_CLOUD,
-                      candidates: int = K.MAX_SCENES) -> DataFrame:
+                      candidates: int | None = None) -> DataFrame:
     """Latest cell table from the folded sums: same answer as the batch plan."""
     start = now - dt.timedelta(days=max_days)
     sums = spark.read.parquet(out).where(F.col("time").between(F.lit(start), F.lit(now)))
     newest = Window.partitionBy("tile_id").orderBy(F.desc("datetime"), F.asc("scene_id"))
     recent = scenes.where(F.col("datetime").between(F.lit(start), F.lit(now)) & (F.col("cloud_cover") < scene_cloud))
-    shortlist = (C.scenes_by_tile(recent, bbox, nx, ny).withColumn("rank", F.row_number().over(newest))
-                 .where(F.col("rank") <= candidates).select("tile_id", "scene_id", "datetime"))
+    shortlist = C.newest_per(C.scenes_by_tile(recent, bbox, nx, ny), newest, candidates).select("tile_id", "scene_id", "datetime")
     share = F.coalesce(F.try_divide(F.sum("n_cloudy"), F.sum("n_known")), F.lit(1.0))
     seen = sums.groupBy("tile_id", "scene_id").agg(share.alias("cloud_fraction"))
     chosen = (shortlist.join(seen, ["tile_id", "scene_id"]).where(F.col("cloud_fraction") * 100 <= max_cloud)
@@ -73,30 +72,29 @@ def read_latest_cells(spark: SparkSession, out: str, scenes: DataFrame, bbox, no
 
 
 def stream_bird_metrics(spark: SparkSession, source: str, schema, out: str, checkpoint: str, grid: GridSpec,
-                        watermark: str = "10 days", max_files: int | None = None) -> StreamingQuery:
-    """Running sighting counts per day, cell and species.
+                        max_files: int | None = None) -> StreamingQuery:
+    """Fold new sighting files into additive counts per day, cell and species.
 
-    ``source`` rows have ``ts, lon, lat, species, count``. Days older than the
-    watermark are closed; rows later than that are not counted, so set it above
-    the worst lateness of the feed. Species stays in the key, which keeps
-    species numbers and diversity exact after the roll-up to dekads.
+    ``source`` rows have ``ts, lon, lat, species, count``. No state is kept
+    between batches and there is no watermark: a sighting counts however late it
+    arrives. Species stays in the key, which keeps species numbers and diversity
+    exact after the roll-up to dekads.
     """
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    seen = assign_grid_cell(reader.parquet(source), grid).withWatermark("ts", watermark)
-    daily = seen.groupBy(F.window("ts", "1 day"), "ix", "iy", "species").agg(
-        F.count("*").alias("n"), F.sum("count").alias("individuals")).select(
-        F.to_date("window.start").alias("day"), "ix", "iy", "species", "n", "individuals")
-    return (daily.writeStream.outputMode("update").foreachBatch(_write_batch(out))
+    write = _write_batch(out)
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        seen = assign_grid_cell(batch, grid).groupBy(F.to_date("ts").alias("day"), "ix", "iy", "species")
+        write(seen.agg(F.count("*").alias("n"), F.sum("count").alias("individuals")), batch_id)
+
+    return (reader.parquet(source).writeStream.foreachBatch(fold)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def read_bird_metrics(spark: SparkSession, out: str) -> DataFrame:
-    """Bird metrics per cell and dekad from the newest count of every key."""
-    updates = spark.read.parquet(out)
-    key = ["day", "ix", "iy", "species"]
-    newest = updates.groupBy(*key).agg(F.max_by(F.struct("n", "individuals"), "batch_id").alias("v"))
-    species = newest.withColumn("dekad", assign_dekad(F.col("day"))).groupBy(*CELL_DEKAD, "species").agg(
-        F.sum("v.n").alias("n"), F.sum("v.individuals").alias("individuals"))
+    """Bird metrics per cell and dekad from the counts of all batches."""
+    species = spark.read.parquet(out).withColumn("dekad", assign_dekad(F.col("day"))).groupBy(*CELL_DEKAD, "species").agg(
+        F.sum("n").alias("n"), F.sum("individuals").alias("individuals"))
     return species_roll_up(species)

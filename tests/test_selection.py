@@ -45,6 +45,24 @@ def test_grouped_medians_hot_route(spark):
     assert plain == mixed and len(mixed) == 4
 
 
+def test_grouped_medians_do_not_depend_on_the_size_of_a_key(spark):
+    nan = float("nan")
+    rows = [(1, 2.0, None), (1, nan, None), (1, 4.0, None), (2, None, nan), (2, None, None), (None, 7.0, 1.0), (None, 9.0, None), (3, nan, nan)]
+    df = spark.createDataFrame(rows, "g int, v double, w double")
+    plain = sorted(map(tuple, S.grouped_medians(df, ["g"], ["v", "w"], None).collect()), key=str)
+    for size in (0, 1, 2):
+        assert sorted(map(tuple, S.grouped_medians(df, ["g"], ["v", "w"], size).collect()), key=str) == plain
+    assert plain == [(1, 3.0, None), (2, None, None), (3, None, None), (None, 8.0, 1.0)]
+
+
+def test_folds_are_stratified(spark):
+    df = spark.range(1007).selectExpr("id", "cast(id % 97 = 0 as int) as label")
+    got = {(r["label"], r["fold"]): r["n"] for r in L.kfold(df, 5, ids=["id"]).groupBy("label", "fold").agg(F.count("*").alias("n")).collect()}
+    for label in (0, 1):
+        sizes = [got[label, i] for i in range(5)]
+        assert max(sizes) - min(sizes) <= 1 and sum(sizes) == df.where(F.col("label") == label).count()
+
+
 def test_running_totals(spark):
     pdf, df = skewed(spark)
     got = S.running_totals(df.select("v", F.lit(1).alias("n")), "v", ["n"], buckets=16).toPandas().sort_values("v")

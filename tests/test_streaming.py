@@ -11,6 +11,17 @@ from marshline.operators import sightings as B
 from marshline.streaming import refresh as R
 
 
+def test_late_sightings_count(spark, tmp_path):
+    rows = [(dt.datetime(2024, 5, d), -90.5, 29.5, "a", 1) for d in (1, 2, 3)] + [(dt.datetime(2024, 1, 5), -90.5, 29.5, "a", 2)]
+    src, out, chk = (str(tmp_path / n) for n in ("in", "out", "chk"))
+    schema = "ts timestamp, lon double, lat double, species string, `count` long"
+    for row in rows:  # the last file is months late
+        spark.createDataFrame([row], schema).write.mode("append").parquet(src)
+        R.stream_bird_metrics(spark, src, spark.createDataFrame([], schema).schema, out, chk, GridSpec()).awaitTermination()
+    got = R.read_bird_metrics(spark, out).agg(F.sum("n_observations"), F.sum("n_individuals")).first()
+    assert tuple(got) == (4, 5)
+
+
 def test_bird_metrics_over_two_runs(spark, tmp_path):
     grid = GridSpec()
     rows = [(dt.datetime(2024, 1, 1 + i % 28, i % 24), -90.5 + 0.01 * (i % 3), 29.5, "abc"[i % 3] if i % 7 else None, 1 + i % 2)
@@ -19,7 +30,7 @@ def test_bird_metrics_over_two_runs(spark, tmp_path):
     src, out, chk = (str(tmp_path / n) for n in ("in", "out", "chk"))
     for part in (df.where("ts < '2024-01-12'"), df.where("ts >= '2024-01-12'")):
         part.coalesce(1).write.mode("append").parquet(src)
-        R.stream_bird_metrics(spark, src, df.schema, out, chk, grid, "40 days").awaitTermination()
+        R.stream_bird_metrics(spark, src, df.schema, out, chk, grid).awaitTermination()
     got = {tuple(r) for r in R.read_bird_metrics(spark, out).collect()}
     batch = assign_grid_cell(df, grid).withColumn("dekad", assign_dekad(F.to_date("ts"))).withColumn("order", F.lit(None).cast("string"))
     assert got == {tuple(r) for r in B.bird_metrics(batch).collect()} and got
