@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import marshline
 
@@ -59,3 +59,22 @@ def filled(column: pa.Array) -> pa.Array:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return pc.fill_null(column.cast(pa.string()), "")
+
+
+#: Bytes of a screen.
+SCREEN = 1 << 20
+
+
+def screen(keys: DataFrame, *cols: str) -> Callable[..., Column]:
+    """A test on columns that every row of ``keys`` passes and others pass seldom, while keys are few against SCREEN.
+
+    It goes before a join, so that rows without a partner are mostly not shuffled; the join itself stays. However many keys there are, at
+    most SCREEN numbers come to the driver and SCREEN bytes go out.
+    """
+    def place(*c: str) -> Column:
+        return F.pmod(F.xxhash64(*c), F.lit(SCREEN)).cast("int")
+
+    marks = np.zeros(SCREEN, np.uint8)
+    marks[keys.select(place(*cols).alias("p")).distinct().toArrow().column("p").to_numpy()] = 1
+    table = keys.sparkSession.createDataFrame([(bytearray(marks.tobytes()),)], "marks binary")
+    return lambda *c: F.substr(table.scalar(), place(*c) + 1, F.lit(1)) == F.lit(bytearray(b"\1"))

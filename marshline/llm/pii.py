@@ -20,6 +20,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from marshline.llm.arrow import screen
 from marshline.session import stage
 
 _E = "A-Za-z0-9._%+-"
@@ -138,7 +139,8 @@ def confident_contexts(scanned: DataFrame, texts: DataFrame, text: str, min_seed
     others = scanned.select(F.explode("_tokens").alias("x")).groupBy("x.c.w1", "x.c.w2", "x.v").agg(F.count("*").alias("n_other"))
     pairs = F.flatten(F.transform(F.array(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+")), lambda ws: F.arrays_zip(
         F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))).alias("w1"), F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0))).alias("w2"))))
-    seen = texts.select(F.inline(pairs)).join(patterns.select("w1", "w2"), ["w1", "w2"]).groupBy("w1", "w2").agg(F.count("*").alias("seen"))
+    # Word pairs are screened and counted before they are joined, so no occurrence becomes a joined row.
+    seen = texts.select(F.inline(pairs)).where(screen(patterns, "w1", "w2")("w1", "w2")).groupBy("w1", "w2").agg(F.count("*").alias("seen"))
     sizes = stage(patterns.join(seen, ["w1", "w2"], "left"), "patterns")
     edges = stage(seeds.join(others, ["w1", "w2", "v"], "full").join(patterns.select("w1", "w2"), ["w1", "w2"]).select(
         "w1", "w2", "v", F.greatest(F.coalesce("n_seed", F.lit(0)), F.coalesce("n_other", F.lit(0))).alias("n"), F.col("n_seed").isNotNull().alias("seed")), "edges")
