@@ -10,7 +10,8 @@ Bands of coordinates become bucket keys. Links are found in two steps, so that a
 all-pairs comparison and yet no link between groups is lost:
 
 1. every member of a bucket is compared with the bucket's smallest one, on the full sets;
-2. in buckets that still hold several components, all pairs across components whose sizes allow a link are compared.
+2. documents in buckets that still hold several components are compared block by block within families (documents joined by
+   such buckets), all pairs across components, without making pairs into rows.
 
 Documents with equal sets are one class from the start and are represented by their smallest id.
 
@@ -28,12 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from marshline.llm.arrow import by_bytes, filled, map_arrow
+from marshline.llm.arrow import by_bytes, filled, map_arrow, screen
 from marshline.llm.graph import components
 from marshline.llm.words import mix, set_keys, shingles
 from marshline.session import stage
 
 CALL_BYTES = 2 << 20
+#: Set elements and documents in a block of a family at most, and columns of an incidence matrix at a time.
+BLOCK_SHINGLES, BLOCK_DOCS, SLICE = 80_000, 500, 4096
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEED, _FOLD = 0xA0761D6478BD642F, np.uint64(0xE7037ED1A0B428DB)
 
@@ -94,7 +97,8 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     """Those pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
     kind = dict(pairs.dtypes)["a"]
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    found = texts.join(wanted, "_id", "left_semi").select("_id", "_text")
+    wanted = stage(wanted, "wanted")
+    found = texts.where(screen(wanted, "_id")("_id")).join(wanted, "_id", "left_semi").select("_id", "_text")
     rows = (pairs.join(found.select(F.col("_id").alias("b"), F.col("_text").alias("_tb")), "b")
             .join(found.select(F.col("_id").alias("a"), F.col("_text").alias("_ta")), "a").select("a", "b", "_ta", "_tb"))
 
@@ -115,37 +119,108 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return map_arrow(rows, run, f"a {kind}, b {kind}")
 
 
+def links_in_families(docs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between documents of one family ``_f`` and different components ``_c``; of several in two blocks, enough to join the components.
+
+    A family is dealt into blocks of about BLOCK_SHINGLES elements or BLOCK_DOCS documents and each pair of blocks is one small task whose comparisons are a
+    product of incidence matrices: no pair becomes a row, and no task holds a family.
+    """
+    kind = dict(docs.dtypes)["_rep"]
+    own = texts.where(screen(docs, "_rep")("_id")).join(docs.select(F.col("_rep").alias("_id")), "_id").select("_id", "_text")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, "_text", CALL_BYTES):
+            sets, ends = shingles(filled(b.column("_text")), k)
+            raw = [sets[x:y].tobytes() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(raw, pa.binary())], names=["_rep", "_set"])
+
+    held = map_arrow(own, sets_of, f"_rep {kind}, _set binary").dropDuplicates(["_rep"])
+    size = docs.groupBy("_f").agg(F.ceil(F.greatest(F.sum("_n") / BLOCK_SHINGLES, F.count("*") / BLOCK_DOCS)).cast("int").alias("_blocks"))
+    block = F.pmod(F.xxhash64("_rep"), F.col("_blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    dealt = (docs.join(size, "_f").join(held, "_rep").select("_f", "_rep", "_c", "_set", block.alias("_own"), other.alias("_other"))
+             .select("_f", "_rep", "_c", "_set", "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j")))
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, parts = group.column("_rep").to_pylist(), group.column("_c").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("_set").to_pylist()]
+        n = np.array([len(x) for x in sets])
+        common = intersections(sets)
+        fit = np.triu(100 * common >= percent * (n[:, None] + n[None, :] - common), 1)
+        root = {c: c for c in parts}
+
+        def top(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        out = []
+        for x, y in zip(*np.nonzero(fit)):
+            u, v = top(parts[x]), top(parts[y])
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                out.append((ids[x], ids[y]))
+        a, b = zip(*out) if out else ((), ())
+        kind_of = group.schema.field("_rep").type
+        return pa.table({"a": pa.array(a, kind_of), "b": pa.array(b, kind_of)})
+
+    return dealt.groupBy("_f", "_i", "_j").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections of sorted sets. Elements of one set only are left out; the rest go by slices of columns."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, column, held_by = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held_by > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, col = owner[keep], number[column[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    total = np.zeros((n, n), np.float32)
+    for c in range(0, int(shared.sum()), SLICE):
+        a, b = np.searchsorted(col, [c, c + SLICE])
+        held = np.zeros((n, SLICE), np.float32)
+        held[row[a:b], col[a:b] - c] = 1
+        total += held @ held.T
+    return total.astype(np.int64)
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2, percent: int = 80,
                     n_bands: int = 56, rows: int = 8) -> DataFrame:
     """``key``, n_shingles, component_id and kept of every row."""
     texts = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     docs = stage(signatures(df, key, text, k, n_bands, rows), "signatures")
-    classes = (docs.where("_k1 is not null").groupBy("_k1", "_k2")
-               .agg(F.min("_id").alias("_rep"), F.max("n_shingles").alias("_n")))
-    # One row of each class has its buckets: the class's smallest id (repeated rows are collapsed).
-    firsts = (docs.where("_k1 is not null").join(classes, ["_k1", "_k2"]).where("_id = _rep")
-              .select("_rep", "_n", F.explode(F.array_distinct("_buckets")).alias("_bucket")))
+    # Groups are written before they are joined back: adaptive execution splits a hot key only between two plain exchanges.
+    classes = stage(docs.where("_k1 is not null").groupBy("_k1", "_k2").agg(
+        F.min("_id").alias("_rep"), (F.count("*") > 1).alias("_many")), "classes")
+    # One row of each class has its buckets: the class's smallest id (repeated rows are collapsed). Most classes have one row and stay put.
+    several = classes.where("_many").select("_k1", "_k2", "_rep")
+    maybe = screen(several, "_k1", "_k2")("_k1", "_k2")
+    filled_sets = docs.where("_k1 is not null").withColumnRenamed("n_shingles", "_n")
+    alone = filled_sets.where(~maybe).select(F.col("_id").alias("_rep"), "_n", "_buckets")
+    first = (filled_sets.where(maybe).join(several.withColumnRenamed("_rep", "_low"), ["_k1", "_k2"], "left").where("_low is null or _id = _low")
+             .select(F.col("_id").alias("_rep"), "_n", "_buckets"))
+    firsts = alone.unionByName(first).select("_rep", "_n", F.explode(F.array_distinct("_buckets")).alias("_bucket"))
     members = stage(_shared_buckets(firsts), "buckets")
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    hub = (members.groupBy("_bucket").agg(F.min(F.struct("_rep", "_n")).alias("_h"))
-           .select("_bucket", F.col("_h._rep").alias("a"), F.col("_h._n").alias("na")))
+    hub = stage(members.groupBy("_bucket").agg(F.min(F.struct("_rep", "_n")).alias("_h"))
+                .select("_bucket", F.col("_h._rep").alias("a"), F.col("_h._n").alias("na")), "hubs")
     stars = stage(members.join(hub, "_bucket").where("_rep > a").withColumnRenamed("_n", "nb").where(fits)
                   .select("a", F.col("_rep").alias("b")).distinct(), "pairs")
     links = stage(verified(stars, texts, k, percent), "links")
     found = components(links)
-    # What is left: pairs in one bucket, in different components, of sizes that allow a link.
+    # What is left: documents in a bucket with another component. They are compared in blocks, within families that share buckets.
     of = F.coalesce(F.col("component"), F.col("_rep"))
     labelled = members.join(found.withColumnRenamed("node", "_rep"), "_rep", "left").select("_bucket", "_rep", "_n", of.alias("_c"))
-    mixed = labelled.groupBy("_bucket").agg(F.min("_c").alias("lo"), F.max("_c").alias("hi")).where("lo < hi").select("_bucket")
-    rest = stage(labelled.join(mixed, "_bucket", "left_semi"), "mixed")
-    x = rest.select("_bucket", F.col("_rep").alias("a"), F.col("_n").alias("na"), F.col("_c").alias("ca"))
-    y = rest.select("_bucket", F.col("_rep").alias("b"), F.col("_n").alias("nb"), F.col("_c").alias("cb"))
-    across = (x.join(y, "_bucket").where("ca < cb").where(fits)
-              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-              .join(stars, ["a", "b"], "left_anti"))
-    across = stage(across, "pairs")
-    if not across.isEmpty():
-        more = stage(verified(across, texts, k, percent), "links")
+    labelled = stage(labelled, "labelled")
+    mixed = stage(labelled.groupBy("_bucket").agg(F.min("_c").alias("lo"), F.max("_c").alias("hi"), F.min("_rep").alias("_low")).where("lo < hi"), "mixed")
+    rest = stage(labelled.join(mixed.select("_bucket", "_low"), "_bucket").select("_rep", "_n", "_c", "_low").distinct(), "mixed")
+    if not rest.isEmpty():
+        families = components(rest.select(F.col("_rep").alias("a"), F.col("_low").alias("b"))).select(F.col("node").alias("_rep"), F.col("component").alias("_f"))
+        docs_left = stage(rest.select("_rep", "_n", "_c").distinct().join(families, "_rep"), "families")
+        more = stage(links_in_families(docs_left, texts, k, percent), "links")
         if not more.isEmpty():
             found = components(links.unionByName(more))
     named = classes.join(found.withColumnRenamed("node", "_rep"), "_rep", "left").select(
@@ -160,5 +235,5 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
 
 def _shared_buckets(rows: DataFrame) -> DataFrame:
     """Rows of buckets that hold more than one class."""
-    shared = rows.groupBy("_bucket").agg(F.min("_rep").alias("lo"), F.max("_rep").alias("hi")).where("lo < hi").select("_bucket")
-    return rows.join(shared, "_bucket", "left_semi")
+    shared = stage(rows.groupBy("_bucket").agg(F.min("_rep").alias("lo"), F.max("_rep").alias("hi")).where("lo < hi").select("_bucket"), "shared")
+    return rows.where(screen(shared, "_bucket")("_bucket")).join(shared, "_bucket", "left_semi")
