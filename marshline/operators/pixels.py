@@ -13,6 +13,7 @@ from marshline.functions import spectral as S
 from marshline.functions.dates import assign_dekad
 from marshline.grid import in_bbox
 from marshline.operators.selection import grouped_medians
+from marshline.session import stage
 
 
 def canonical_bands(df: DataFrame, coordinates: bool = True) -> DataFrame:
@@ -94,17 +95,18 @@ def coarsen_blocks(df: DataFrame, factor: int, cols: list[str], raster: list[str
                    time: str = "time") -> DataFrame:
     """Mean over ``factor`` x ``factor`` blocks; incomplete edge blocks are dropped.
 
-    Missing pixels are skipped. Pixels are averaged map-side first; the raster
-    extents (one row per raster) join the much smaller block table, not pixels.
+    Missing pixels are skipped. Pixels are read once and averaged map-side; the
+    staged blocks, smaller by the pixels per block, also give the raster extents.
     """
     raster = list(raster)
     have = [c for c in ("lon", "lat") if c in df.columns]
     f = F.lit(factor)
-    blocks = df.groupBy(*raster, time, F.floor(F.col("px") / f).alias("bx"), F.floor(F.col("py") / f).alias("by")).agg(
-        *[F.avg(c).alias(c) for c in [*have, *cols]], F.count("*").alias("n_pixels"))
-    extent = df.groupBy(*raster).agg(
-        F.floor((F.max("px") + 1) / f).alias("nx"), F.floor((F.max("py") + 1) / f).alias("ny"))
-    return (blocks.join(extent, raster)
+    blocks = stage(df.groupBy(*raster, time, F.floor(F.col("px") / f).alias("bx"), F.floor(F.col("py") / f).alias("by")).agg(
+        *[F.avg(c).alias(c) for c in [*have, *cols]], F.count("*").alias("n_pixels"),
+        F.max("px").alias("_px"), F.max("py").alias("_py")), "blocks")
+    extent = blocks.groupBy(*raster).agg(
+        F.floor((F.max("_px") + 1) / f).alias("nx"), F.floor((F.max("_py") + 1) / f).alias("ny"))
+    return (blocks.drop("_px", "_py").join(extent, raster)
             .where((F.col("bx") < F.col("nx")) & (F.col("by") < F.col("ny"))).drop("nx", "ny"))
 
 
