@@ -26,8 +26,8 @@ from marshline.llm.tokens import Encoder, encoder
 from marshline.llm.words import split_words
 from marshline.session import stage
 
-CALL_BYTES = 4 << 20
-_KNOWN_WORDS, _NEW_WORDS = 300_000, 20_000
+CALL_BYTES = 2 << 20
+_KNOWN_WORDS, _NEW_WORDS = 300_000, 10_000
 
 
 class WordIds:
@@ -51,7 +51,7 @@ class WordIds:
         new = [w for w in words if w not in self._code]
         pools, sizes = [self._pool], []
         for i in range(0, len(new), _NEW_WORDS):
-            ids = self._enc.ids(new[i:i + _NEW_WORDS])
+            ids = self._enc.word_ids(new[i:i + _NEW_WORDS])
             sizes += map(len, ids)
             pools.append(np.array([x for ws in ids for x in ws], np.uint32))
         if new:
@@ -72,15 +72,9 @@ class WordIds:
         return self._pool[where], ends[starts]
 
 
-_WORDS: dict[str, WordIds] = {}
-
-
-def text_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    enc = encoder(path)
+def text_ids(texts: pa.Array, enc: Encoder, words: WordIds) -> tuple[np.ndarray, np.ndarray]:
     if enc.cuttable:
-        if path not in _WORDS:
-            _WORDS[path] = WordIds(enc)
-        return _WORDS[path].ids(texts)
+        return words.ids(texts)
     ids = enc.ids(texts.to_pylist())
     ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
     return np.array([x for xs in ids for x in xs], np.uint32), ends
@@ -91,8 +85,10 @@ def token_pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id: in
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer)
+        words = WordIds(enc)  # of this task only: workers live on and share their memory with other tasks
         for b in by_bytes(batches, "_text", CALL_BYTES):
-            ids, ends = text_ids(filled(b.column("_text")), tokenizer)
+            ids, ends = text_ids(filled(b.column("_text")), enc, words)
             rows = []
             for i in range(b.num_rows):
                 own = np.append(ids[ends[i]:ends[i + 1]], np.uint32(end_id)).astype("<u4")

@@ -35,13 +35,15 @@ class Encoder:
     """One interface to both libraries. ``cuttable``: a blank always separates tokens and belongs to none."""
 
     def __init__(self, path: str):
-        self.cuttable = False
+        self.cuttable = self.merges_letters = False
         if path.endswith(".json"):
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
             from tokenizers import Tokenizer
             self._tok = Tokenizer.from_file(path)
             with open(path, encoding="utf-8") as f:
-                self.cuttable = _drops_blanks(json.load(f))
+                spec = json.load(f)
+            self.cuttable = _drops_blanks(spec)
+            self.merges_letters = self.cuttable and _keeps_letters_together(spec)
             self._tok.no_truncation()
             self._tok.no_padding()
             self.ids = lambda texts: [e.ids for e in self._tok.encode_batch(texts, add_special_tokens=False)]
@@ -54,6 +56,42 @@ class Encoder:
         else:
             raise ValueError(f"neither a .json nor a .model file: {path}")
 
+    def word_ids(self, words: list[str]) -> list[list[int]]:
+        """Ids of single words. Words of Latin letters with closing punctuation go straight to the library's merge model, where normalizer and
+        pre-tokenizer are known to pass them on as letters and punctuation in lower case; all others take the whole way."""
+        if not self.merges_letters:
+            return self.ids(words)
+        merge, out, rest = self._tok.model.tokenize, [], []
+        for i, w in enumerate(words):
+            known = _LATIN_WORD.fullmatch(w)
+            if known:
+                letters, tail = known.groups()
+                letters = letters.lower()
+                if not letters.isascii():
+                    letters = letters.encode("utf-8").decode("latin-1").translate(_SHOWN)
+                out.append([t.id for t in merge(letters)] + [t.id for t in merge(tail)] if tail else [t.id for t in merge(letters)])
+            else:
+                out.append([])
+                rest.append(i)
+        for i, ids in zip(rest, self.ids([words[i] for i in rest])):
+            out[i] = ids
+        return out
+
+
+_LATIN_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=-@\\[-`{-~]*)")
+# How byte-level models write bytes that do not print: in order, from U+0100.
+_SHOWN = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+
+
+def _keeps_letters_together(spec: dict) -> bool:
+    """Whether a lower-case run of letters and a run of punctuation each reach the merge model as they are, as bytes."""
+    steps = [s["type"] for s in (spec.get("normalizer") or {}).get("normalizers") or []]
+    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    runs = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    return (steps == ["NFC", "Replace", "Lowercase"] and len(pre) == 2 and pre[0].get("pattern", {}).get("Regex", "").endswith(runs)
+            and pre[1].get("type") == "ByteLevel" and not pre[1].get("use_regex", True) and not pre[1].get("add_prefix_space", True)
+            and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout"))
+
 
 def _drops_blanks(spec: dict) -> bool:
     """Whether blanks only ever separate: the split pattern keeps no white space, and the steps before look at no neighbours."""
