@@ -13,16 +13,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 import marshline
 
 #: Rows and bytes that the JVM puts into one Arrow batch at most.
-BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches by bytes as well as rows, and let local workers import this package.
+    """Bound Arrow batches by bytes as well as rows, collect per-document sets by sorting (their size is that of a text), and let local
+    workers import this package.
 
     On a cluster the package is installed, or shipped with ``--py-files``, like any other.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "128")
     sc = spark.sparkContext
     if sc.master.startswith("local"):
         root = os.path.dirname(os.path.dirname(os.path.abspath(marshline.__file__)))
@@ -34,7 +36,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     prepare(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()  # workers live on between tasks
+
+    return df.mapInArrow(run, schema)
 
 
 def text_sizes(column: pa.Array) -> np.ndarray:
@@ -71,7 +78,7 @@ def screen(keys: DataFrame, *cols: str) -> Callable[..., Column]:
     It goes before a join, so that rows without a partner are mostly not shuffled; the join itself stays. However many keys there are, at
     most SCREEN numbers come to the driver and SCREEN bytes go out.
     """
-    def place(*c: str) -> Column:
+    def place(*c) -> Column:
         return F.pmod(F.xxhash64(*c), F.lit(SCREEN)).cast("int")
 
     marks = np.zeros(SCREEN, np.uint8)

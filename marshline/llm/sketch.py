@@ -34,7 +34,7 @@ from marshline.llm.graph import components
 from marshline.llm.words import mix, set_keys, shingles
 from marshline.session import stage
 
-CALL_BYTES = 2 << 20
+CALL_BYTES = 1 << 20
 #: Set elements and documents in a block of a family at most, and columns of an incidence matrix at a time.
 BLOCK_SHINGLES, BLOCK_DOCS, SLICE = 80_000, 500, 4096
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
