@@ -192,8 +192,10 @@ def report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def redact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of ``df`` with every span of ``text`` replaced by its kind in brackets. Spans that overlap are masked as one."""
     found_in = stage(personal_data(df, key, text).select("_id", "_h", all_spans().alias("_all")).where(F.size("_all") > 0).dropDuplicates(["_id", "_h"]), "spans")
+    # Rows that cannot have spans stay where they are; only the others move to meet theirs.
+    maybe = screen(found_in, "_id", "_h")(F.col(f"`{key}`"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     body = F.coalesce(F.col(f"d.`{text}`"), F.lit(""))
-    joined = df.alias("d").join(found_in.alias("f"), F.col(f"d.`{key}`").eqNullSafe(F.col("f._id")) & (F.xxhash64(body) == F.col("f._h")), "left")
+    joined = df.where(maybe).alias("d").join(found_in.alias("f"), F.col(f"d.`{key}`").eqNullSafe(F.col("f._id")) & (F.xxhash64(body) == F.col("f._h")), "left")
 
     def put(acc: Column, x: Column) -> Column:
         gap = F.substr(acc["t"], acc["at"] + 1, x["s"] - acc["at"])
@@ -204,4 +206,4 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     masked = F.aggregate(F.col("f._all"), F.struct(body.alias("t"), F.lit(0).alias("at"), F.lit("").alias("out")), put,
                          lambda acc: F.concat(acc["out"], F.substr(acc["t"], acc["at"] + 1)))
     new = F.when(F.col("f._all").isNull(), F.col(f"d.`{text}`")).otherwise(masked)
-    return joined.select(*[new.alias(c) if c == text else F.col(f"d.`{c}`") for c in df.columns])
+    return joined.select(*[new.alias(c) if c == text else F.col(f"d.`{c}`") for c in df.columns]).unionByName(df.where(~maybe))
