@@ -158,10 +158,11 @@ def covered_windows(texts: DataFrame, docs: DataFrame, window: int, seed: int) -
     """(_id, _covered): starts of the windows whose sequence also starts in a document of smaller id. ``docs``: one row a class."""
     kind = dict(texts.dtypes)["_id"]
     seeds = docs.select("_id", F.explode("_anchors").alias("_a"))
-    joined = seeds.groupBy("_a").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("_a")
+    # Groups are written before they are joined back: adaptive execution splits a hot key only between two plain exchanges.
+    joined = stage(seeds.groupBy("_a").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("_a"), "joined")
     shared = seeds.join(joined, "_a", "left_semi").groupBy("_id").agg(F.collect_set("_a").alias("_shared"))
     windows = stage(candidate_windows(texts.join(shared, "_id").select("_id", "_text", "_shared"), kind, window, seed), "windows")
-    firsts = windows.groupBy("_w", "_a").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("_w", "_a", "lo")
+    firsts = stage(windows.groupBy("_w", "_a").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("_w", "_a", "lo"), "firsts")
     return (windows.join(firsts, ["_w", "_a"]).where("_id > lo").groupBy("_id").agg(F.collect_set("_at").alias("_covered")))
 
 
@@ -172,6 +173,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     docs = stage(anchors(texts, window, seed), "anchors")
     long = docs.where(F.col("n_words") >= window).where("_id is not null")
     classes = long.groupBy("_k1", "_k2").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    classes = stage(classes, "classes")
     copies = long.join(classes, ["_k1", "_k2"]).where("_id > _first").select("_id").distinct()
     firsts = long.select("_id", "_anchors").join(copies, "_id", "left_anti")
     covered = stage(covered_windows(texts, firsts, window, seed), "covered")
