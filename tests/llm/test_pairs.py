@@ -206,7 +206,7 @@ def test_leaks_against_brute_force(spark):
 def test_revisits(spark):
     at = lambda h: dt.datetime(2024, 1, 1, h)
     rows = [(1, "http://www.A.org:80/x/", at(1), 200, {"ETag": '"a"', "Content-Length": "5", "X": "1"}), (2, "https://a.org/x?utm_source=q", at(3), 200, {"ETag": '"b"'}),
-            (3, "//a.org/x", at(3), 200, {"etag": '"c"', "Date": "old"}), (4, "https://a.org/x#f", at(2), 304, {"etag": 'W/"a"', "content-length": "0", "DATE": "new"}),
+            (3, "HTTPS://A.org:443/x", at(3), 200, {"etag": '"c"', "Date": "old"}), (4, "https://a.org/x#f", at(2), 304, {"etag": 'W/"a"', "content-length": "0", "DATE": "new"}),
             (5, "https://a.org/x", at(3), 304, {"ETag": '"a"'}), (6, "https://a.org/x", at(4), 304, {"ETag": '"zzz"'}), (7, "https://a.org/x", at(5), 304, None),
             (8, "https://a.org/y", at(5), 304, None), (9, None, at(5), 304, {}), (10, "https://a.org/x", None, 304, {}), (11, "https://a.org/x", at(1), 304, {}),
             (7, "https://a.org/x", at(5), 304, None)]
