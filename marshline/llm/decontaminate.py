@@ -1,15 +1,16 @@
 """Benchmark decontamination by pigeonhole pieces and bit-parallel edit distance.
 
-Texts are compared as words: lower case, ASCII punctuation and control characters as blanks. An item of m words may differ from a
-passage by k word edits. It is split into k + 1 pieces; a passage within k edits holds at least one piece unchanged. Documents are searched for
+Texts are compared as words: lower case, ASCII punctuation and control characters as blanks. In scripts that are written without blanks
+between words (``_UNSPACED``) every code point is a word of its own, and CJK and full-width punctuation is a blank too, so an item is found
+inside a longer run of characters. An item of m words may differ from a passage by k word edits. It is split into k + 1 pieces; a passage within k edits holds at least one piece unchanged. Documents are searched for
 exact pieces by rolling hashes, and around each hit the edit distance of the
 item to the best fitting passage is computed with Myers' bit vectors.
 
 The benchmark is the query set. Its size is measured; blocks of items of at most ``block_chars`` characters are broadcast one after another, so a larger
 benchmark takes more passes over the documents and never more memory.
 
-Defined results: null or wordless documents match nothing. Items with fewer than ``min_words`` words are too short to be evidence and
-are not searched. Repeated benchmark rows count once; repeated documents each match. Of several passages that match an
+Defined results: null or wordless documents match nothing, nor do items without a word. Items with fewer than ``min_words`` words are not
+searched; with 1 every item is, and those too short for two pieces (under 2 * ``min_piece`` words) are found as they are only. Repeated benchmark rows count once; repeated documents each match. Of several passages that match an
 item in one document the nearest is reported, the first of equally near ones.
 """
 
@@ -30,6 +31,33 @@ CALL_BYTES = 2 << 20
 _BLANKS = np.arange(256, dtype=np.uint8)
 _BLANKS[[c for c in range(128) if not chr(c).isalnum()]] = 32
 _SCREEN_BITS = 18
+#: First and one past the last code point: Thai to Tibetan, Myanmar, Khmer, Tai and Balinese blocks, CJK, kana, Yi, Javanese and Myanmar
+#: extensions, Tai Viet, compatibility ideographs, half-width kana, kana supplements, ideographs of planes 2 and 3.
+_UNSPACED = np.array([(0x0E00, 0x1000), (0x1000, 0x10A0), (0x1780, 0x1800), (0x1950, 0x1A00), (0x1A20, 0x1AB0), (0x1B00, 0x1B80), (0x2E80, 0x3000),
+                      (0x3005, 0x3008), (0x3021, 0x3030), (0x3031, 0x303D), (0x303E, 0x3130), (0x3190, 0xA4D0), (0xA980, 0xAA00), (0xAA60, 0xAAE0),
+                      (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x16FE0, 0x18D90), (0x1AFF0, 0x1B170), (0x20000, 0x40000)]).ravel()
+_WIDE_BLANKS = np.array([(0x3000, 0x3005), (0x3008, 0x3021), (0x3030, 0x3031), (0x303D, 0x303E), (0xFF01, 0xFF10), (0xFF1A, 0xFF21), (0xFF3B, 0xFF41),
+                         (0xFF5B, 0xFF66)]).ravel()
+
+
+def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes with a blank on both sides of every code point of ``_UNSPACED``, and the texts' offsets in them."""
+    at = np.flatnonzero(data >= 0xE0)
+    if not len(at):
+        return data, offsets
+    lead = data[at].astype(np.int64)
+    wide = lead >= 0xF0
+    tail = [data[np.minimum(at + i, len(data) - 1)].astype(np.int64) & 0x3F for i in (1, 2, 3)]
+    code = np.where(wide, (lead & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2], (lead & 0x0F) << 12 | tail[0] << 6 | tail[1])
+    blank = at[np.searchsorted(_WIDE_BLANKS, code, side="right") % 2 == 1]
+    if len(blank):
+        data = data.copy()
+        data[(blank[:, None] + np.arange(3)).ravel()] = 32
+    own = np.searchsorted(_UNSPACED, code, side="right") % 2 == 1
+    begin, end = at[own], at[own] + np.where(wide[own], 4, 3)
+    if not len(begin):
+        return data, offsets
+    return np.insert(data, np.concatenate([begin, end]), 32), offsets + 2 * np.searchsorted(begin, offsets, side="left")
 
 
 def comparable(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -37,8 +65,9 @@ def comparable(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     low = pc.utf8_lower(texts)
     valid, offsets, data = low.buffers()
     if data is not None and data.size:
-        clean = _BLANKS[np.frombuffer(data, np.uint8)]
-        low = pa.StringArray.from_buffers(len(low), offsets, pa.py_buffer(clean), None, 0, low.offset)
+        ends = np.frombuffer(offsets, np.int32)[low.offset:low.offset + len(low) + 1].astype(np.int64)
+        clean, ends = spaced(_BLANKS[np.frombuffer(data, np.uint8)[ends[0]:ends[-1]]], ends - ends[0])
+        low = pa.StringArray.from_buffers(len(low), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(clean), None, 0)
     words, starts = split_words(low)
     return hash_words(words), starts
 
@@ -112,21 +141,24 @@ def split_items(ids: list, texts: list[str], error_rate: float, min_piece: int,
 def search(hashes: np.ndarray, starts: np.ndarray, items: Pieces) -> list[tuple[int, int, int, int]]:
     """(text, item, distance, one past the passage's last word) of every item found in a text within its budget."""
     windows: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    out, edits = [], np.array(items.edits, np.int64)
     roll = Rolling(hashes)
     for size, (known, item, offset, screen) in items.by_length.items():
         runs = roll.runs(size)
         at = np.flatnonzero(screen[(runs >> np.uint64(64 - _SCREEN_BITS)).astype(np.int64)])
         left = np.searchsorted(known, runs[at], side="left")
-        right = np.searchsorted(known, runs[at], side="right")
-        for p, lo, hi in zip(at[right > left].tolist(), left[right > left].tolist(), right[right > left].tolist()):
-            t = int(np.searchsorted(starts, p, side="right")) - 1
-            if p + size > starts[t + 1]:
-                continue  # runs over the end of its text
-            for h in range(lo, hi):
-                i, k = int(item[h]), items.edits[item[h]]
-                begin = p - int(offset[h])
-                windows.setdefault((t, i), []).append((max(begin - k, int(starts[t])), min(begin + len(items.words[i]) + k, int(starts[t + 1]))))
-    out = []
+        many = np.searchsorted(known, runs[at], side="right") - left
+        p, hit = np.repeat(at, many), np.repeat(left - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        t = np.searchsorted(starts, p, side="right") - 1
+        inside = p + size <= starts[t + 1]  # others run over the end of their text
+        p, t, i, offset_of = p[inside], t[inside], item[hit[inside]], offset[hit[inside]]
+        whole = edits[i] == 0
+        # An item in one piece is found by its hits alone; of a text's hits the first counts, however many there are.
+        _, first = np.unique(t[whole] * len(edits) + i[whole], return_index=True)
+        out += [(a, b, 0, c) for a, b, c in zip(t[whole][first].tolist(), i[whole][first].tolist(), (p[whole] + size - starts[t[whole]])[first].tolist())]
+        for p1, t1, i1, o1 in zip(*(x[~whole].tolist() for x in (p, t, i, offset_of))):
+            k, begin = items.edits[i1], p1 - o1
+            windows.setdefault((t1, i1), []).append((max(begin - k, int(starts[t1])), min(begin + len(items.words[i1]) + k, int(starts[t1 + 1]))))
     for (t, i), spans in windows.items():
         best, end, done = items.edits[i] + 1, 0, -1
         for a, b in sorted(spans):

@@ -93,7 +93,7 @@ def op3_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_edit_leaks")
 def op1_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_words=1)
 
 
 REPEATS_SQL = r"""
