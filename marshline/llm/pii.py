@@ -44,7 +44,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def found(text: Column, pattern: str) -> Column:
-    """All matches from left to right: start, end (exclusive, code points), value and up to 70 characters before."""
+    """All matches from left to right: start, end (exclusive, code points), value and up to 70 characters of the text before, earlier matches included."""
     cut = F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
 
     def size(z: Column) -> Column:
@@ -53,22 +53,31 @@ def found(text: Column, pattern: str) -> Column:
     def total(block: Column) -> Column:
         return F.aggregate(block, F.lit(0), lambda n, z: n + size(z))
 
+    def tail(*parts: Column) -> Column:
+        return F.right(F.concat(*parts), F.lit(_REACH))
+
     def add(acc: Column, z: Column) -> Column:
         s = acc["at"] + F.length(z["g"])
-        one = F.struct(s.alias("s"), (s + F.length(z["m"])).alias("e"), z["m"].alias("v"), F.right(z["g"], F.lit(_REACH)).alias("before"))
-        return F.struct((acc["at"] + size(z)).alias("at"), F.when(z["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], one)).alias("out"))
+        one = F.struct(s.alias("s"), (s + F.length(z["m"])).alias("e"), z["m"].alias("v"), tail(acc["tail"], z["g"]).alias("before"))
+        return F.struct((acc["at"] + size(z)).alias("at"), tail(acc["tail"], z["g"], F.coalesce(z["m"], F.lit(""))).alias("tail"),
+                        F.when(z["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], one)).alias("out"))
 
     def spans(pair: Column) -> Column:
-        start = F.struct(pair["at"].alias("at"), F.array().cast(_SPAN).alias("out"))
+        start = F.struct(pair["at"]["at"].alias("at"), pair["at"]["tail"].alias("tail"), F.array().cast(_SPAN).alias("out"))
         return F.aggregate(pair["b"], start, add, lambda acc: acc["out"])
 
     def all_blocks(z: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / _BLOCK).cast("int")), lambda i: F.slice(z, i * _BLOCK + 1, F.lit(_BLOCK)))
 
+    def ending(block: Column, before: Column) -> Column:
+        return F.aggregate(block, before, lambda t, z: tail(t, z["g"], F.coalesce(z["m"], F.lit(""))))
+
     def starts(blocks: Column) -> Column:
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(blocks, begin, lambda acc, b: F.struct((acc["at"] + total(b)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
-                           lambda acc: acc["out"])
+        """Of each block, its offset and the characters before it."""
+        begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast("array<struct<at:int,tail:string>>").alias("out"))
+        return F.aggregate(blocks, begin, lambda acc, b: F.struct(
+            (acc["at"] + total(b)).alias("at"), ending(b, acc["tail"]).alias("tail"),
+            F.array_append(acc["out"], F.struct(acc["at"].alias("at"), acc["tail"].alias("tail"))).alias("out")), lambda acc: acc["out"])
 
     located = let(let(cut, all_blocks), lambda blocks: F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), starts(blocks).alias("at")), spans)))
     return F.when(text.rlike(pattern), located).otherwise(F.array().cast(_SPAN))
