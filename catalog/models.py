@@ -16,9 +16,6 @@ from marshline.plans import areas, habitat as H
 from marshline.session import new_path, stage
 from marshline.streaming import refresh as R
 
-# Smaller searches than the defaults, so that a query stays a query.
-_KS, _TREES = range(4, 6), 8
-
 
 def _profiles(spark, d):
     mi = stage(X.model_input(spark, d), "model_input")
@@ -33,7 +30,7 @@ def _vectors(spark, d):
 
 def _components(spark, d):
     v = _vectors(spark, d)
-    pca, n, _ = M.pca_variance(v, share=0.5)
+    pca, n, _ = M.pca_variance(v)
     return stage(M._components(v, pca, n), "components"), n
 
 
@@ -45,12 +42,12 @@ def _train(spark, d):
 
 
 def _suitability(spark, d):
-    return U.train_suitability(_train(spark, d), folds=2, trees=_TREES, regressor_trees=_TREES)
+    return U.train_suitability(_train(spark, d))
 
 
 def _archetypes(spark, d):
     p = _profiles(spark, d)
-    model, results = M.train_archetypes(p, _KS, n_init=1, max_iter=10, variance=0.5)
+    model, results = M.train_archetypes(p)
     return p, model, results
 
 
@@ -64,22 +61,22 @@ def pca(spark, d):
 @query("gmm_search")
 def gmm(spark, d):
     comps, n = _components(spark, d)
-    rows, _ = M.gmm_search(comps, n, _KS, n_init=2, max_iter=10)
+    rows, _ = M.gmm_search(comps, n)
     return spark.createDataFrame(rows, M.SEARCH_SCHEMA)
 
 
 @query("cluster_assign")
 def assign(spark, d):
     comps, n = _components(spark, d)
-    _, models = M.gmm_search(comps, n, [4], n_init=1, max_iter=10)
-    return M.cluster_assign(comps, models[4]).select("ix", "iy", "cluster", "cluster_confidence")
+    _, models = M.gmm_search(comps, n, [K.MIN_CLUSTERS])
+    return M.cluster_assign(comps, models[K.MIN_CLUSTERS]).select("ix", "iy", "cluster", "cluster_confidence")
 
 
 @query("silhouette")
 def silhouette(spark, d):
     comps, n = _components(spark, d)
-    _, models = M.gmm_search(comps, n, [4], n_init=1, max_iter=10)
-    value = M.silhouette(M.cluster_assign(comps, models[4]))
+    _, models = M.gmm_search(comps, n, [K.MIN_CLUSTERS])
+    value = M.silhouette(M.cluster_assign(comps, models[K.MIN_CLUSTERS]))
     return spark.createDataFrame([("squared_euclidean", float(value))], "distance string, silhouette double")
 
 
@@ -107,7 +104,7 @@ def diagnostics(spark, d):
 @query("train_presence_classifier")
 def classifier(spark, d):
     t = L.stratified_split(_train(spark, d))
-    model = U.train_presence_classifier(t.where("NOT is_test"), trees=_TREES)
+    model = U.train_presence_classifier(t.where("NOT is_test"))
     held = stage(U.presence_probability(t.where("is_test"), model, K.MODEL_FEATURES, "score"), "scored")
     return L.classifier_metrics(held)
 
@@ -115,26 +112,26 @@ def classifier(spark, d):
 @query("calibrate_isotonic")
 def calibrated(spark, d):
     t = _train(spark, d)
-    pairs = U.calibrate_isotonic(t, k=2, trees=_TREES)
+    pairs = U.calibrate_isotonic(t)
     return U.calibrated_probability(t, pairs, K.MODEL_FEATURES, "probability").select("ix", "iy", "dekad", "label", "probability")
 
 
 @query("train_diversity_regressor")
 def regressor(spark, d):
     t = _train(spark, d).where("label = 1")
-    model = U.train_diversity_regressor(t, trees=_TREES)
+    model = U.train_diversity_regressor(t)
     out = model.setFeaturesCol("_x").transform(U._vectors(t, K.MODEL_FEATURES))
     return L.regressor_metrics(out, "prediction", "shannon_diversity")
 
 
 @query("feature_importance_rank")
 def importance(spark, d):
-    return U.feature_importance_rank(spark, U.train_presence_classifier(_train(spark, d), trees=_TREES))
+    return U.feature_importance_rank(spark, U.train_presence_classifier(_train(spark, d)))
 
 
 @query("cross_validate")
 def cross(spark, d):
-    return U.cross_validate(_train(spark, d), k=2, trees=_TREES)
+    return U.cross_validate(_train(spark, d))
 
 
 @query("score_cells")

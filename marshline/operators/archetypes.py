@@ -80,7 +80,9 @@ def information_criteria(loglik: float, k: int, d: int, n: int) -> tuple[float,
 
 
 def silhouette(df: DataFrame, features: str = "pca", cluster: str = "cluster") -> float:
-    """Mean silhouette in squared Euclidean distance (linear in rows)."""
+    """Mean silhouette in squared Euclidean distance (linear in rows); 0 where all rows have one label."""
+    if df.select(cluster).distinct().limit(2).count() < 2:
+        return 0.0
     return ClusteringEvaluator(featuresCol=features, predictionCol=cluster, metricName="silhouette",
                                distanceMeasure="squaredEuclidean").evaluate(df)
 
@@ -132,10 +134,9 @@ def gmm_search(df: DataFrame, d: int, ks=range(K.MIN_CLUSTERS, K.MAX_CLUSTERS +
         labelled = cluster_assign(df, best, features)
         arr = vector_to_array(features)
         flat = labelled.select("cluster", *[arr[j].alias(f"c{j}") for j in range(d)])
-        one_label = labelled.select("cluster").distinct().limit(2).count() < 2
         rows.append({
             "k": int(k), "bic": float(bic), "aic": float(aic),
-            "silhouette": 0.0 if one_label else float(silhouette(labelled, features)),
+            "silhouette": float(silhouette(labelled, features)),
             "calinski_harabasz": calinski_harabasz(flat, [f"c{j}" for j in range(d)]).first()[0],
         })
         models[k] = best
