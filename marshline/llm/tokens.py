@@ -1,12 +1,15 @@
 """Token counts of whole texts with a given public tokenizer.
 
 Texts go to the tokenizer library in batches of about equal bytes and only
-lengths come back. A long text is cut where no token can span the cut:
+lengths come back. Texts are cut where no token can span the cut:
 
 * ``.json`` (tokenizers): at white space, if the file's pre-tokenizer drops white space and its normalizer is one of
-  the known context-free ones; a text is left whole otherwise.
+  the known context-free ones. Then every word is a piece: the distinct words of a batch that the task has not met before go to the
+  library in calls of equal bytes, and a text's count is the sum over its words. A text is left whole otherwise.
 * ``.model`` (sentencepiece): texts are left whole.
 
+What a task remembers of words is bounded (``_KNOWN_WORDS``) and starts anew beyond that.
+
 Defined results: a null text counts as an empty one (0 bytes, 0 tokens); repeated rows each give their row; an empty
 table gives an empty one. Other columns of the input are ignored, whatever their names.
 """
@@ -24,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from marshline.llm.arrow import by_bytes, filled, map_arrow, text_sizes
+from marshline.llm.words import split_words
 
 #: Bytes of text in one call of the library, and the length from which a text is cut.
 CALL_BYTES, LONG_TEXT = 1 << 20, 1 << 16
+_KNOWN_WORDS = 300_000
 # An ASCII blank between two visible ASCII characters: no normalization joins across it.
 _CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
 
@@ -133,15 +138,50 @@ def counts_of(texts: list[str], enc: Encoder, long_text: int = LONG_TEXT) -> np.
     return np.bincount(owner, weights=enc.counts(parts), minlength=len(texts)).astype(np.int64) if parts else np.zeros(0, np.int64)
 
 
+class WordCounts:
+    """Token counts of whole texts by way of their words; see ``Encoder.cuttable``. One int is kept for each word met."""
+
+    def __init__(self, enc: Encoder):
+        self._enc = enc
+        self._known: dict[str, int] = {}
+
+    def _of(self, words: list[str]) -> np.ndarray:
+        if len(self._known) > _KNOWN_WORDS:
+            self._known = {}
+        new, size = [], 0
+        for w in words:
+            if w not in self._known:
+                new.append(w)
+                size += len(w)
+                if size > CALL_BYTES:
+                    self._learn(new)
+                    new, size = [], 0
+        self._learn(new)
+        return np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))
+
+    def _learn(self, words: list[str]) -> None:
+        self._known.update(zip(words, map(len, self._enc.word_ids(words))))
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        words, starts = split_words(texts)
+        coded = words.dictionary_encode()
+        of_word = self._of(coded.dictionary.to_pylist())
+        total = np.zeros(len(words) + 1, np.int64)
+        if len(words):
+            np.cumsum(of_word[coded.indices.to_numpy(zero_copy_only=False)], out=total[1:])
+        return np.diff(total[starts])
+
+
 def token_counts(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", limit: int = 2048) -> DataFrame:
     """``key``, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every row."""
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        words = WordCounts(enc)  # of this task only
         for b in by_bytes(batches, "_text", CALL_BYTES):
             texts = filled(b.column("_text"))
-            n = counts_of(texts.to_pylist(), enc)
+            n = words.counts(texts) if enc.cuttable else counts_of(texts.to_pylist(), enc)
             yield pa.RecordBatch.from_arrays(
                 [b.column("_key"), pa.array(text_sizes(texts)), pa.array(n), pa.array(n > limit)],
                 names=[key, "n_bytes", "n_tokens", "over_limit"])

@@ -48,6 +48,17 @@ def test_long_texts_are_cut_only_where_it_is_safe(name):
     assert tokens.counts_of(given_texts, enc, long_text=50).tolist() == enc.counts(given_texts)
 
 
+def test_words_give_the_counts_of_whole_texts(monkeypatch):
+    given_texts = [t or "" for t in TEXTS]
+    for known, call in ((300_000, 1 << 20), (3, 5)):  # also where memory is cleared and calls are short
+        monkeypatch.setattr(tokens, "_KNOWN_WORDS", known)
+        monkeypatch.setattr(tokens, "CALL_BYTES", call)
+        words = tokens.WordCounts(tokens.Encoder(WORDS))
+        for _ in range(2):
+            assert words.counts(pa.array(given_texts)).tolist() == [len(ids_of(t)) for t in given_texts]
+    assert words.counts(pa.array([], pa.string())).tolist() == []
+
+
 def test_words_give_the_ids_of_whole_texts():
     words = packing.WordIds(tokens.Encoder(WORDS))
     given_texts = [t or "" for t in TEXTS]
