@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marshline.llm import chat, decontaminate, langid, multiindex, packing, pii, repeats, sketch, tokens, warc
+from marshline.llm import chat, decontaminate, langid, merkle, multiindex, packing, pii, repeats, sketch, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -212,3 +212,68 @@ FROM judged"""
 def op2_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = warc.resolve_revisits(captures(table(spark, sf_dir, "pages")))
     return resolved.withColumn("time", F.date_format("time", "yyyy-MM-dd HH:mm:ss")).withColumn("headers", F.array_join("headers", "\n"))
+
+
+#: CRC-32 of an ASCII text, bit by bit.
+CRC_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(strlen({0})), lambda i: ascii(substr({0}, i + 1, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)),
+    4294967295::BIGINT)"""
+
+
+def _field(value: str, text: str | None = None) -> str:
+    text = text or f"CAST({value} AS VARCHAR)"
+    return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join([*map(_field, ("doc_id", "source", "lang", "n_chars")), _field("", text)]) + ")"
+
+
+def _levels(name: str, base: str) -> str:
+    """A tree over ``base`` (g, idx, n, d) and each node's left and right digests."""
+    return f"""
+{name}(g, level, idx, n, d) AS (
+  SELECT g, 0, idx, n, d FROM {base}
+  UNION ALL SELECT g, level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY idx)) FROM {name} WHERE n > 1 GROUP BY g, level, idx // 16, n),
+{name}_sides AS MATERIALIZED (
+  SELECT a.g, a.level, a.idx, coalesce(string_agg(b.d, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+         coalesce(string_agg(b.d, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM {name} a JOIN {name} b ON a.g = b.g AND a.level = b.level AND a.idx // 16 = b.idx // 16 WHERE a.n > 1 GROUP BY a.g, a.level, a.idx)"""
+
+
+MANIFEST_SQL = f"""
+WITH RECURSIVE leaves AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || source, '') AS g, {_leaf("text")} AS d,
+         CASE WHEN {CRC_SQL.format("CAST(doc_id AS VARCHAR)")} % 5 = 0
+              THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered FROM documents),
+ranked AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+{_levels("tree", "ranked")},
+subroots AS MATERIALIZED (
+  SELECT g AS own, d, '' AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS idx, count(*) OVER () AS n FROM tree WHERE n = 1),
+{_levels("top", "subroots")},
+walk(rid, g, level, idx, d, proof) AS (
+  SELECT rid, g, 0, idx, coalesce(tampered, d), '' FROM ranked
+  UNION ALL SELECT w.rid, w.g, w.level + 1, w.idx // 16, sha256(s.l || w.d || s.r), proof || s.l || s.r
+  FROM walk w JOIN tree_sides s ON w.g = s.g AND w.level = s.level AND w.idx = s.idx),
+reached AS MATERIALIZED (SELECT rid, s.idx, w.d, proof, s.d AS subroot FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY level DESC) AS k FROM walk) w
+  JOIN subroots s ON w.g = s.own WHERE k = 1),
+climb(rid, level, idx, d, proof) AS (
+  SELECT rid, 0, idx, d, proof FROM reached
+  UNION ALL SELECT c.rid, c.level + 1, c.idx // 16, sha256(s.l || c.d || s.r), proof || s.l || s.r
+  FROM climb c JOIN top_sides s ON c.level = s.level AND c.idx = s.idx)
+SELECT doc_id, ranked.d AS leaf, subroot, root, sha256(c.proof) AS proof_sha256, c.d AS folded_root, c.d = root AS verified
+FROM ranked JOIN reached USING (rid) JOIN (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY level DESC) AS k FROM climb) c USING (rid),
+     (SELECT d AS root FROM top WHERE n = 1) WHERE k = 1"""
+
+
+@query("op13_merkle_manifest", MANIFEST_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0,
+                      merkle.leaf_digest(*map(F.col, fields), merkle.ascii_lower(F.col("text"))))
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), [*fields, "text"], tampered=tampered)
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    return rows.select("doc_id", *[merkle.hexed(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")],
+                       merkle.hexed(merkle.proof_digest(F.col("path"))).alias("proof_sha256"), merkle.hexed(folded).alias("folded_root"),
+                       (folded == F.col("root")).alias("verified"))
