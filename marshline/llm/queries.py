@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marshline.llm import chat, decontaminate, langid, merkle, multiindex, packing, pii, repeats, sketch, tokens, warc
+from marshline.llm import chat, decontaminate, langid, merkle, multiindex, packing, pii, repair, repeats, sketch, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -277,3 +277,77 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[merkle.hexed(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")],
                        merkle.hexed(merkle.proof_digest(F.col("path"))).alias("proof_sha256"), merkle.hexed(folded).alias("folded_root"),
                        (folded == F.col("root")).alias("verified"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """``turns`` as damage leaves them, in one row each, with the number of copies that are left."""
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    code = F.crc32(F.concat(shown[0], F.lit(":"), shown[1]).cast("binary")) % 20
+    return turns.select("conv_id", "turn", F.when(code == 4, "user").otherwise(shown[2]).alias("role"),
+                        F.when(code == 1, "").when(code == 2, F.regexp_replace(shown[3], "[.!?]", "")).otherwise(shown[3]).alias("text"),
+                        F.when(code == 0, 0).when(code == 3, 2).otherwise(1).alias("copies"))
+
+
+def _best(fields: str) -> str:
+    return f"list_min([{fields}])"
+
+
+_DUE_SQL = "[3, 3, 4, 3]"  # states from 1: start, after system, after user, after assistant
+_INSERTED = "list_transform([1, 2, 3, 4], lambda q: " + _best(f"{{v}}[q], {{{{'c': 3 + {{v}}[{_DUE_SQL}[q]].c, 'a': 'I' || {{v}}[{_DUE_SQL}[q]].a}}}}") + ")"
+_NO = "{'c': CAST(1000000000 AS BIGINT), 'a': ''}"
+_EDITED = "list_transform([1, 2, 3, 4], lambda q: " + _best(f"""{{'c': 4 + v[q].c, 'a': 'D' || v[q].a}},
+        CASE WHEN fault IN ('blank', 'duplicate') OR kept[q] = 0 THEN {_NO} ELSE {{'c': extra + v[kept[q]].c, 'a': 'K' || v[kept[q]].a}} END,
+        CASE WHEN fault IN ('blank', 'duplicate') THEN {_NO} ELSE {{'c': 3 + extra + v[{_DUE_SQL}[q]].c, 'a': 'R' || v[{_DUE_SQL}[q]].a}} END""") + ")"
+
+REPAIR_SQL = rf"""
+WITH RECURSIVE shown AS (
+  SELECT conv_id, coalesce('=' || conv_id, '') AS g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+coded AS MATERIALIZED (SELECT *, {CRC_SQL.format("k")} % 20 AS code FROM shown),
+turns AS MATERIALIZED (
+  SELECT g, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN code = 1 THEN '' WHEN code = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM coded JOIN (VALUES (1), (2)) copy(nr) ON nr = 1 OR code = 3 WHERE code <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, encode(role), encode(text)) AS i,
+           row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST) AS nth FROM turns),
+judged AS MATERIALIZED (
+  SELECT g, i, role, text, substr(role, 1, 1) AS initial,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+         coalesce(lag(substr(role, 1, 1)) OVER (PARTITION BY g ORDER BY i) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal FROM placed),
+best(g, i, v) AS (
+  SELECT g, max(i), {_INSERTED.format(v="[" + "{'c': CAST(0 AS BIGINT), 'a': ''}, " + _NO + ", " + _NO + ", {'c': CAST(0 AS BIGINT), 'a': ''}]")} FROM judged GROUP BY g
+  UNION ALL SELECT g, i - 1, {_INSERTED.format(v="v")} FROM (SELECT g, i, {_INSERTED.format(v="v")} AS v FROM (SELECT g, i, {_EDITED} AS v FROM (
+    SELECT g, i, v, fault, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra,
+           CASE initial WHEN 's' THEN [2, 0, 0, 0] WHEN 'u' THEN [3, 3, 0, 3] WHEN 'a' THEN [0, 0, 4, 0] ELSE [0, 0, 0, 0] END AS kept
+    FROM best JOIN judged USING (g, i))))),
+plan AS MATERIALIZED (SELECT g, v[1].c AS cost, v[1].a AS audit FROM best WHERE i = 0),
+walk(g, k, i, state, said) AS (
+  SELECT g, 1, 1, 1, CAST([] AS VARCHAR[]) FROM plan
+  UNION ALL SELECT g, k + 1, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN state WHEN 'K' THEN stay ELSE due END,
+         CASE e WHEN 'D' THEN said WHEN 'K' THEN list_append(said, role || ':' || text)
+                ELSE list_append(said, CASE WHEN due = 3 THEN 'user:' ELSE 'assistant:' END || CASE WHEN e = 'I' THEN '' ELSE text END) END
+  FROM (SELECT w.*, substr(p.audit, CAST(k AS BIGINT), 1) AS e, {_DUE_SQL}[state] AS due, t.role, t.text,
+               CASE t.initial WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END AS stay
+        FROM walk w JOIN plan p USING (g) LEFT JOIN judged t ON w.g = t.g AND w.i = t.i WHERE k <= length(p.audit))),
+counts AS (SELECT g, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM judged GROUP BY g),
+spread AS (SELECT g, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps FROM turns GROUP BY g)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(array_to_string(coalesce(said, []), chr(10))) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, g FROM shown) LEFT JOIN counts USING (g) LEFT JOIN spread USING (g) LEFT JOIN plan USING (g)
+LEFT JOIN walk w USING (g) WHERE w.g IS NULL OR w.k = length(audit) + 1"""
+
+
+@query("op12_structure_repair", REPAIR_SQL)
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = damaged(table(spark, sf_dir, "conversations"))
+    left = turns.select("conv_id", "turn", "role", "text", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy"))
+    found = repair.digests(repair.repaired(left))
+    live = F.when(F.col("live"), F.col("turn"))
+    spread = (turns.groupBy("conv_id", "turn").agg((F.max("copies") > 0).alias("live")).groupBy("conv_id")
+              .agg((F.max(live) - F.min(live) + 1 - F.count(live)).alias("gaps")).withColumn("g", repair.conversation_key(F.col("conv_id"))))
+    counts = ["blank", "duplicate", "truncated", "illegal", "cost"]
+    return spread.join(found, "g", "left").select(
+        "conv_id", F.coalesce("gaps", F.lit(0).cast("long")).alias("gaps"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
