@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marshline.llm import chat, decontaminate, langid, merkle, multiindex, packing, pii, repair, repeats, sketch, tokens, warc
+from marshline.llm import chat, decontaminate, langid, merkle, multiindex, packing, pii, repair, repeats, sketch, tokens, treebpe, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -351,3 +351,11 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread.join(found, "g", "left").select(
         "conv_id", F.coalesce("gaps", F.lit(0).cast("long")).alias("gaps"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
         F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@query("op11_tree_concatenation")
+def op11_tree_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    decoded = treebpe.decode_ids(treebpe.encode_texts(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                          F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
