@@ -37,6 +37,7 @@ _KNOWN_UNITS = 300_000
 _OUT_BYTES = 8 << 20
 #: The white space of the tokenizers' expressions.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{_SPACE}]", c))
 _UNIT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
@@ -204,10 +205,13 @@ def cut(text: str, enc: TreeEncoder, size: int) -> Iterator[tuple[int, str]]:
                 for half in halves(letters, size):
                     yield long_words, half
                 continue
-            if length + len(part) > size:
+            apart = len(unit) > size and not part.strip(_SPACES)  # a word of white space depends on what follows: it stands alone
+            if apart or length + len(part) > size:
                 yield from flush()
             held.append(part)
             length += len(part)
+            if apart:
+                yield from flush()
     yield from flush()
 
 
