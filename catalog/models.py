@@ -77,7 +77,7 @@ def silhouette(spark, d):
     comps, n = _components(spark, d)
     _, models = M.gmm_search(comps, n, [K.MIN_CLUSTERS])
     value = M.silhouette(M.cluster_assign(comps, models[K.MIN_CLUSTERS]))
-    return spark.createDataFrame([("squared_euclidean", float(value))], "distance string, silhouette double")
+    return spark.createDataFrame([("euclidean", float(value))], "distance string, silhouette double")
 
 
 @query("train_archetypes")

@@ -5,15 +5,13 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler, VectorSlicer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marshline import constants as K
 from marshline.functions.casting import nonfinite_to_zero
 from marshline.operators import scoring as S
+from marshline.operators.mixtures import Mixture, assigned, coordinates, fit_mixtures, mean_silhouettes
 from marshline.operators.scoring import best_k
 from marshline.session import stage
 
@@ -79,71 +77,64 @@ def information_criteria(loglik: float, k: int, d: int, n: int) -> tuple[float,
     return -2 * loglik + p * math.log(n), -2 * loglik + 2 * p
 
 
-def silhouette(df: DataFrame, features: str = "pca", cluster: str = "cluster") -> float:
-    """Mean silhouette in squared Euclidean distance (linear in rows); 0 where all rows have one label."""
-    if df.select(cluster).distinct().limit(2).count() < 2:
-        return 0.0
-    return ClusteringEvaluator(featuresCol=features, predictionCol=cluster, metricName="silhouette",
-                               distanceMeasure="squaredEuclidean").evaluate(df)
+def silhouette(df: DataFrame, features: str = "pca", cluster: str = "cluster", sample: int = 10_000) -> float:
+    """Mean Euclidean silhouette over at most ``sample`` rows; 0 where all rows have one label."""
+    return mean_silhouettes(df, features, [cluster], sample)[0]
 
 
-def calinski_harabasz(df: DataFrame, cols: list[str], cluster: str = "cluster") -> DataFrame:
-    """Between to within dispersion ratio, from per-cluster sums."""
-    per = df.groupBy(cluster).agg(
+def dispersion_ratios(df: DataFrame, cols: list[str], cluster: str, by: list[str]) -> DataFrame:
+    """Between to within dispersion ratio of each group of ``by``, from per-cluster sums."""
+    per = df.groupBy(*by, cluster).agg(
         F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in cols],
         sum((F.var_pop(c) for c in cols[1:]), F.var_pop(cols[0])).alias("v"))
     mean = {c: F.sum(F.col("n") * F.col(f"m_{c}")) / F.sum("n") for c in cols}
     between = [F.sum(F.col("n") * F.col(f"m_{c}") * F.col(f"m_{c}")) - F.sum("n") * mean[c] * mean[c] for c in cols]
-    flat = per.agg(F.count("*").alias("k"), F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("v")).alias("within"),
-                   sum(between[1:], between[0]).alias("between"))
+    flat = per.groupBy(*by).agg(F.count("*").alias("k"), F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("v")).alias("within"),
+                                sum(between[1:], between[0]).alias("between"))
     c = F.col
-    return flat.select(F.try_divide(c("between") * (c("rows") - c("k")), c("within") * (c("k") - 1))
+    return flat.select(*by, F.try_divide(c("between") * (c("rows") - c("k")), c("within") * (c("k") - 1))
                        .alias("calinski_harabasz"))
 
 
-def cluster_assign(df: DataFrame, model: GaussianMixtureModel, features: str = "pca") -> DataFrame:
+def calinski_harabasz(df: DataFrame, cols: list[str], cluster: str = "cluster") -> DataFrame:
+    """Between to within dispersion ratio, from per-cluster sums."""
+    return dispersion_ratios(df, cols, cluster, [])
+
+
+def cluster_assign(df: DataFrame, model: Mixture, features: str = "pca") -> DataFrame:
     """Most likely component and its membership probability."""
-    m = model.setFeaturesCol(features).setPredictionCol("cluster").setProbabilityCol("_p")
-    return m.transform(df).withColumn("cluster_confidence", F.array_max(vector_to_array("_p"))).drop("_p")
+    return (df.withColumn("_p", assigned(coordinates(df, features), model)[0])
+            .withColumns({"cluster": F.col("_p")["cluster"], "cluster_confidence": F.col("_p")["confidence"]}).drop("_p"))
 
 
 def gmm_search(df: DataFrame, d: int, ks=range(K.MIN_CLUSTERS, K.MAX_CLUSTERS + 1), n_init: int = 3,
                max_iter: int = 300, seed: int = 42, features: str = "pca") -> tuple[list[dict], dict]:
     """Best of ``n_init`` full-covariance mixtures per k, with quality measures.
 
-    ``df`` should be a stored table: every iteration scans it. A k whose fits
-    all fail is left out.
+    ``df`` should be a stored table: every iteration scans it, for all k and starts together. A k without a mixture has null measures
+    and the reason.
     """
-    n = df.count()
-    rows, models = [], {}
-    for k in ks:
-        fits = []
-        for i in range(n_init):
-            try:
-                m = GaussianMixture(k=k, maxIter=max_iter, seed=seed + i, featuresCol=features,
-                                    predictionCol="cluster", probabilityCol="_p").fit(df)
-            except Exception as e:  # a degenerate component makes the covariance singular
-                if "Singular" not in str(e) and "singular" not in str(e) and "positive" not in str(e):
-                    raise
-                continue
-            fits.append((m.summary.logLikelihood, i, m))
-        if not fits:
-            continue
-        loglik, _, best = max(fits, key=lambda f: (f[0], -f[1]))
-        bic, aic = information_criteria(loglik, k, d, n)
-        labelled = cluster_assign(df, best, features)
-        arr = vector_to_array(features)
-        flat = labelled.select("cluster", *[arr[j].alias(f"c{j}") for j in range(d)])
-        rows.append({
-            "k": int(k), "bic": float(bic), "aic": float(aic),
-            "silhouette": float(silhouette(labelled, features)),
-            "calinski_harabasz": calinski_harabasz(flat, [f"c{j}" for j in range(d)]).first()[0],
-        })
-        models[k] = best
-    return rows, models
-
-
-SEARCH_SCHEMA = "k int, bic double, aic double, silhouette double, calinski_harabasz double"
+    fits = fit_mixtures(df, ks, features, n_init, max_iter, seed=seed)
+    models = {k: m for k, m in fits.items() if isinstance(m, Mixture)}
+    measured = {}
+    if models:
+        arr = coordinates(df, features)
+        labels = assigned(arr, *models.values())
+        labelled = stage(df.select(arr.alias("_x"), labels.alias("_l")).select(
+            *[F.col("_x")[j].alias(f"c{j}") for j in range(d)], F.col("_x").alias("x"), *[F.col("_l")[i]["cluster"].alias(f"k{k}") for i, k in enumerate(models)]), "labelled")
+        n = labelled.count()
+        near = mean_silhouettes(labelled, "x", [f"k{k}" for k in models])
+        cols = [f"c{j}" for j in range(d)]
+        long = labelled.select(*cols, F.inline(F.array(*[F.struct(F.lit(int(k)).alias("k_of"), F.col(f"k{k}").alias("cluster")) for k in models])))
+        ratios = {r["k_of"]: r["calinski_harabasz"] for r in dispersion_ratios(long, cols, "cluster", ["k_of"]).collect()}  # one row a k
+        for (k, m), s in zip(models.items(), near):
+            bic, aic = information_criteria(m.log_likelihood, k, d, n)
+            measured[k] = {"bic": float(bic), "aic": float(aic), "silhouette": float(s), "calinski_harabasz": ratios[k], "reason": None}
+    nothing = {"bic": None, "aic": None, "silhouette": None, "calinski_harabasz": None}
+    return [{"k": int(k), **(measured[k] if k in measured else {**nothing, "reason": m})} for k, m in fits.items()], models
+
+
+SEARCH_SCHEMA = "k int, bic double, aic double, silhouette double, calinski_harabasz double, reason string"
 
 
 @dataclass
@@ -153,7 +144,7 @@ class ArchetypeModel:
     scaler: dict[str, tuple[float, float]]
     pca: PCAModel
     n_components: int
-    gmm: GaussianMixtureModel
+    gmm: Mixture
     search: list[dict]
     best_k: int
     variance: float = 0.0
@@ -169,8 +160,7 @@ class ArchetypeModel:
     def save(self, path: str) -> None:
         spark = SparkSession.active()
         self.pca.write().overwrite().save(f"{path}/pca")
-        self.gmm.write().overwrite().save(f"{path}/gmm")
-        plain = {k: v for k, v in self.__dict__.items() if k not in ("pca", "gmm")}
+        plain = {k: v for k, v in self.__dict__.items() if k not in ("pca", "gmm")} | {"gmm": self.gmm.to_dict()}
         spark.createDataFrame([(json.dumps(plain),)], "value string").write.mode("overwrite").text(f"{path}/params")
 
     @classmethod
@@ -180,7 +170,7 @@ class ArchetypeModel:
         p["suitability"] = {int(k): v for k, v in p["suitability"].items()}
         for k in ("percentiles", "trend_bounds", "priority_bounds"):
             p[k] = tuple(p[k])
-        return cls(pca=PCAModel.load(f"{path}/pca"), gmm=GaussianMixtureModel.load(f"{path}/gmm"), **p)
+        return cls(pca=PCAModel.load(f"{path}/pca"), gmm=Mixture.from_dict(p.pop("gmm")), **p)
 
 
 def train_archetypes(profiles: DataFrame, ks=range(K.MIN_CLUSTERS, K.MAX_CLUSTERS + 1), n_init: int = 3,
@@ -196,6 +186,8 @@ def train_archetypes(profiles: DataFrame, ks=range(K.MIN_CLUSTERS, K.MAX_CLUSTER
     pca, n, shares = pca_variance(vectors, share=variance)
     comps = stage(_components(vectors, pca, n), "components")
     rows, models = gmm_search(comps, n, ks, n_init, max_iter, seed)
+    if not models:
+        raise ValueError("no mixture could be fitted: " + "; ".join(sorted({r["reason"] for r in rows})))
     best = best_k(spark.createDataFrame(rows, SEARCH_SCHEMA)).first()["k"]
     model = ArchetypeModel(scaler, pca, n, models[best], rows, int(best), sum(shares[:n]))
     clustered = stage(model.cluster(profiles), "clustered")
