@@ -48,6 +48,10 @@ def byte_letters() -> list[str]:
     return [rest.get(b, chr(b)) for b in range(256)]
 
 
+#: A word of Latin letters with at most one blank before it and punctuation after it, which the tokenizers' expression takes apart just there.
+_PLAIN = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=-@\\[-`{-~]*)")
+
+
 class TreeEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -64,6 +68,8 @@ class TreeEncoder:
         self._letters = byte_letters()
         size = max(self._tok.get_vocab(with_added_tokens=True).values(), default=-1) + 1
         self._token = [self._tok.id_to_token(i) or "" for i in range(size)]
+        self._shown = dict(enumerate(self._letters))
+        self._tails: dict[str, list[int]] = {}
         value = {c: b for b, c in enumerate(self._letters)}
         self._bytes = [bytes(value[c] for c in t) if all(c in value for c in t) else t.encode() for t in self._token]
 
@@ -74,6 +80,30 @@ class TreeEncoder:
         """Ids of one word, given in the vocabulary's letters."""
         return [t.id for t in self._tok.model.tokenize(letters)]
 
+    def units(self, units: list[str]) -> list[list[int]]:
+        """Ids of short units. Plain words go straight to the library's merge model, all others the whole way."""
+        out, rest, blank = [], [], self._letters[32]
+        for i, unit in enumerate(units):
+            plain = _PLAIN.fullmatch(unit)
+            if not plain:
+                out.append(None)
+                rest.append(i)
+                continue
+            lead, word, tail = plain.groups()
+            if not word.isascii():
+                word = word.encode("utf-8").decode("latin-1").translate(self._shown)
+            ids = self.merged(blank + word if lead else word)
+            if tail:
+                if tail not in self._tails:
+                    if len(self._tails) > _KNOWN_UNITS:
+                        self._tails = {}
+                    self._tails[tail] = self.merged(tail)
+                ids = ids + self._tails[tail]
+            out.append(ids)
+        for i, ids in zip(rest, self.library([units[i] for i in rest])):
+            out[i] = ids
+        return out
+
     def words(self, unit: str) -> Iterator[tuple[str, str | None]]:
         """A unit's special strings, and its words as text and in the vocabulary's letters."""
         for part in self._cut.split(unit) if self._cut else [unit]:
@@ -159,7 +189,7 @@ class UnitIds:
                 calls.append([])
                 at = 0
         for call in calls:
-            ids.update(zip(call, self._enc.library(call)))
+            ids.update(zip(call, self._enc.units(call)))
         for u in units:
             if len(u) > self._size:
                 ids[u] = self._enc.unit_ids(u, self._size)

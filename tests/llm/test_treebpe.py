@@ -28,7 +28,7 @@ def unit_ids(text, size=treebpe.PIECE):
 
 def test_every_kind_of_white_space():
     for c in SPACES:
-        for text in (f"a{c}b", f"a{c}{c}b 's{c}", f"{c}a {c} b{c} ", f"!{c}'ll <|endoftext|>{c}x{c}\n{c}"):
+        for text in (f"a{c}b, {c}b--", f"a{c}b", f"a{c}{c}b 's{c}", f"{c}a {c} b{c} ", f"!{c}'ll <|endoftext|>{c}x{c}\n{c}"):
             assert unit_ids(text) == ids_of(text), hex(ord(c))
 
 
@@ -60,6 +60,12 @@ def test_long_words_join_exactly(alphabet, length):
         assert unit_ids(text, size) == ids_of(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aB\u00e9\u00df\u00ff\u00d7\u00aa,.'!-<|>[]` \n1", max_size=30))
+def test_plain_words(text):
+    assert unit_ids(text) == ids_of(text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 50_300), max_size=40))
 def test_decoding_any_ids(ids):
