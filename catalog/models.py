@@ -120,7 +120,7 @@ def calibrated(spark, d):
 def regressor(spark, d):
     t = _train(spark, d).where("label = 1")
     model = U.train_diversity_regressor(t)
-    out = model.setFeaturesCol("_x").transform(U._vectors(t, K.MODEL_FEATURES))
+    out = U.diversity_prediction(t, model, K.MODEL_FEATURES, "prediction")
     return L.regressor_metrics(out, "prediction", "shannon_diversity")
 
 

@@ -5,101 +5,99 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+import numpy as np
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marshline import constants as K
 from marshline.functions.features import scoring_features
 from marshline.functions.labels import suitability_class
+from marshline.operators.boosting import Boosted, boost, predicted
+from marshline.operators.isotonic import Isotonic, fit_isotonic
 from marshline.operators.training import classifier_metrics, kfold
 from marshline.session import stage
 
 
-def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="_x").transform(df)
+def _classifiers(df: DataFrame, features: list[str], label: str, trees: int, depth: int, seed: int, **which) -> list[Boosted]:
+    p = K.CLASSIFIER
+    return boost(df, features, label, "log", trees, depth, p["step"], p["subsample"], p["min_leaf"], seed=seed, **which)
 
 
 def train_presence_classifier(df: DataFrame, features: list[str] = K.MODEL_FEATURES, label: str = "label",
                               trees: int = K.CLASSIFIER["trees"], depth: int = K.CLASSIFIER["depth"],
-                              seed: int = 42) -> GBTClassificationModel:
+                              seed: int = 42) -> Boosted:
     """Boosted trees for presence; ``df`` holds the feature columns and label."""
-    p = K.CLASSIFIER
-    return GBTClassifier(
-        featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=p["step"],
-        subsamplingRate=p["subsample"], minInstancesPerNode=p["min_leaf"], featureSubsetStrategy="sqrt",
-        seed=seed).fit(_vectors(df, features))
+    return _classifiers(df, features, label, trees, depth, seed)[0]
 
 
 def train_diversity_regressor(df: DataFrame, features: list[str] = K.MODEL_FEATURES,
                               target: str = "shannon_diversity", trees: int = K.REGRESSOR["trees"],
-                              depth: int = K.REGRESSOR["depth"], seed: int = 42) -> GBTRegressionModel | None:
+                              depth: int = K.REGRESSOR["depth"], seed: int = 42) -> Boosted | None:
     """Boosted trees for diversity on rows with birds; None under 50 rows."""
     if df.limit(K.MIN_REGRESSION_ROWS).count() < K.MIN_REGRESSION_ROWS:
         return None
     p = K.REGRESSOR
-    return GBTRegressor(
-        featuresCol="_x", labelCol=target, maxIter=trees, maxDepth=depth, stepSize=p["step"],
-        subsamplingRate=p["subsample"], minInstancesPerNode=p["min_leaf"], featureSubsetStrategy="sqrt",
-        seed=seed).fit(_vectors(df.fillna(0.0, subset=[target]), features))
+    return boost(df.fillna(0.0, subset=[target]), features, target, "square", trees, depth, p["step"], p["subsample"], p["min_leaf"], seed=seed)[0]
 
 
-def presence_probability(df: DataFrame, model: GBTClassificationModel, features: list[str], out: str) -> DataFrame:
+def presence_probability(df: DataFrame, model: Boosted, features: list[str], out: str) -> DataFrame:
     """Add a classifier's raw probability of presence."""
-    m = model.setFeaturesCol("_x").setProbabilityCol("_p").setRawPredictionCol("_raw").setPredictionCol("_y")
-    return (m.transform(_vectors(df, features)).withColumn(out, vector_to_array("_p")[1])
-            .drop("_x", "_p", "_raw", "_y"))
+    return df.withColumn(out, predicted([model], features)[0])
 
 
-def calibrate_isotonic(df: DataFrame, features: list[str] = K.MODEL_FEATURES, label: str = "label", k: int = 5,
-                       **params) -> list[tuple[GBTClassificationModel, IsotonicRegressionModel]]:
-    """One classifier per fold with an isotonic map fitted on the fold left out.
+def diversity_prediction(df: DataFrame, model: Boosted, features: list[str], out: str) -> DataFrame:
+    """Add a regressor's prediction."""
+    return df.withColumn(out, predicted([model], features)[0])
 
-    Held-out scores are pooled to distinct values with weights first, which
-    leaves the isotonic fit unchanged and its input small.
-    """
+
+def held_out_scores(df: DataFrame, models: list[Boosted], features: list[str], out: str = "score") -> DataFrame:
+    """Add the probability by the model that was grown without the row's own fold."""
+    return df.withColumn(out, predicted(models, features, F.col("fold"))[0])
+
+
+def _calibrated(folds: DataFrame, models: list[Boosted], features: list[str], label: str) -> list[tuple[Boosted, Isotonic]]:
+    scored = held_out_scores(folds.select("fold", label, *features), models, features, "_s")
+    curves = fit_isotonic(scored, "_s", label, "fold")
+    nothing = Isotonic(np.zeros(0), np.zeros(0))
+    return [(m, curves.get(i, nothing)) for i, m in enumerate(models)]
+
+
+def calibrate_isotonic(df: DataFrame, features: list[str] = K.MODEL_FEATURES, label: str = "label", k: int = 5,
+                       trees: int = K.CLASSIFIER["trees"], depth: int = K.CLASSIFIER["depth"], seed: int = 42) -> list[tuple[Boosted, Isotonic]]:
+    """One classifier per fold with an isotonic map fitted on the fold left out; the classifiers are grown together."""
     folds = stage(kfold(df, k, label), "folds")
-    pairs = []
-    for i in range(k):
-        model = train_presence_classifier(folds.where(F.col("fold") != i), features, label, **params)
-        held = presence_probability(folds.where(F.col("fold") == i), model, features, "_s")
-        pooled = held.groupBy("_s").agg(F.avg(F.col(label).cast("double")).alias("_y"),
-                                        F.count("*").cast("double").alias("_w"))
-        iso = IsotonicRegression(featuresCol="_s", labelCol="_y", weightCol="_w", predictionCol="_c").fit(pooled)
-        pairs.append((model, iso))
-    return pairs
+    models = _classifiers(folds, features, label, trees, depth, seed, fold="fold", folds=k, base=False)
+    return _calibrated(folds, models, features, label)
 
 
-def calibrated_probability(df: DataFrame, pairs, features: list[str], out: str) -> DataFrame:
+def calibrated_probability(df: DataFrame, pairs: list[tuple[Boosted, Isotonic]], features: list[str], out: str) -> DataFrame:
     """Mean of the calibrated fold classifiers."""
-    names = []
-    for i, (model, iso) in enumerate(pairs):
-        df = presence_probability(df, model, features, "_s")
-        df = iso.setFeaturesCol("_s").setPredictionCol(f"_c{i}").transform(df).drop("_s")
-        names.append(f"_c{i}")
-    total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
-    return df.withColumn(out, total / len(names)).drop(*names)
+    curves = [c for _, c in pairs]
+
+    @F.pandas_udf("double")
+    def mean(scores):
+        import pandas as pd
+        values = np.array(scores.tolist(), float).reshape(len(scores), len(curves))
+        return pd.Series(np.mean([c(v) for c, v in zip(curves, values.T)], axis=0))
+
+    return df.withColumn(out, mean(predicted([m for m, _ in pairs], features)))
 
 
-def feature_importance_rank(spark: SparkSession, model, features: list[str] = K.MODEL_FEATURES) -> DataFrame:
+def feature_importance_rank(spark: SparkSession, model: Boosted, features: list[str] = K.MODEL_FEATURES) -> DataFrame:
     """Importance per feature, largest first; equal ones by name."""
-    rows = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
+    rows = [(f, float(v)) for f, v in zip(features, model.importances)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
 def cross_validate(df: DataFrame, features: list[str] = K.MODEL_FEATURES, label: str = "label", k: int = 5,
-                   **params) -> DataFrame:
-    """Mean and deviation of AUC, average precision and F1 over k folds."""
+                   trees: int = K.CLASSIFIER["trees"], depth: int = K.CLASSIFIER["depth"], seed: int = 42) -> DataFrame:
+    """Mean and deviation of AUC, average precision and F1 over k folds, whose classifiers are grown together."""
     folds = stage(kfold(df, k, label), "folds")
+    models = _classifiers(folds, features, label, trees, depth, seed, fold="fold", folds=k, base=False)
+    held = stage(held_out_scores(folds.select("fold", label, *features), models, features).select("fold", label, "score"), "held_out")
     per_fold = None
     for i in range(k):
-        model = train_presence_classifier(folds.where(F.col("fold") != i), features, label, **params)
-        scored = presence_probability(folds.where(F.col("fold") == i), model, features, "score")
-        held = stage(scored.select("score", label), "held_out")  # the metrics read it several times
-        row = classifier_metrics(held, "score", label).select(
+        row = classifier_metrics(held.where(F.col("fold") == i), "score", label).select(
             F.lit(i).alias("fold"), "roc_auc", "average_precision", F.col("present_f1").alias("f1"))
         per_fold = row if per_fold is None else per_fold.unionByName(row)
     return per_fold.agg(*[f(c).alias(f"{c}_{n}") for c in ("roc_auc", "average_precision", "f1")
@@ -111,39 +109,33 @@ class SuitabilityModel:
     """Calibrated presence classifier with an optional diversity regressor."""
 
     features: list[str]
-    base: GBTClassificationModel
+    base: Boosted
     pairs: list = field(default_factory=list)
-    regressor: GBTRegressionModel | None = None
+    regressor: Boosted | None = None
 
     def score(self, cells: DataFrame, doy_period: float = 365.0) -> DataFrame:
         return score_cells(cells, self, doy_period)
 
     def save(self, path: str) -> None:
-        self.base.write().overwrite().save(f"{path}/base")
-        for i, (m, iso) in enumerate(self.pairs):
-            m.write().overwrite().save(f"{path}/fold{i}")
-            iso.write().overwrite().save(f"{path}/isotonic{i}")
-        if self.regressor is not None:
-            self.regressor.write().overwrite().save(f"{path}/regressor")
-        info = {"features": self.features, "folds": len(self.pairs), "regressor": self.regressor is not None}
-        SparkSession.active().createDataFrame([(json.dumps(info),)], "value string").write.mode("overwrite").text(
-            f"{path}/params")
+        parts = {"base": self.base.to_dict(), "regressor": self.regressor and self.regressor.to_dict(), "features": self.features, "folds": len(self.pairs)}
+        for i, (m, curve) in enumerate(self.pairs):
+            parts |= {f"fold{i}": m.to_dict(), f"isotonic{i}": curve.to_dict()}
+        SparkSession.active().createDataFrame([(k, json.dumps(v)) for k, v in parts.items()], "part string, value string").write.mode("overwrite").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "SuitabilityModel":
-        p = json.loads(spark.read.text(f"{path}/params").first()[0])
-        pairs = [(GBTClassificationModel.load(f"{path}/fold{i}"), IsotonicRegressionModel.load(f"{path}/isotonic{i}"))
-                 for i in range(p["folds"])]
-        reg = GBTRegressionModel.load(f"{path}/regressor") if p["regressor"] else None
-        return cls(p["features"], GBTClassificationModel.load(f"{path}/base"), pairs, reg)
+        p = {r["part"]: json.loads(r["value"]) for r in spark.read.parquet(path).collect()}  # a row for each part of the model
+        pairs = [(Boosted.from_dict(p[f"fold{i}"]), Isotonic.from_dict(p[f"isotonic{i}"])) for i in range(p["folds"])]
+        return cls(p["features"], Boosted.from_dict(p["base"]), pairs, p["regressor"] and Boosted.from_dict(p["regressor"]))
 
 
 def train_suitability(train: DataFrame, features: list[str] = K.MODEL_FEATURES, label: str = "label",
                       target: str = "shannon_diversity", folds: int = 5, trees: int = K.CLASSIFIER["trees"],
-                      regressor_trees: int = K.REGRESSOR["trees"]) -> SuitabilityModel:
-    """Fit classifier, calibration and regressor on a stored feature table."""
-    base = train_presence_classifier(train, features, label, trees=trees)
-    pairs = calibrate_isotonic(train, features, label, folds, trees=trees)
+                      regressor_trees: int = K.REGRESSOR["trees"], depth: int = K.CLASSIFIER["depth"], seed: int = 42) -> SuitabilityModel:
+    """Fit classifier, calibration and regressor on a stored feature table; the classifier and those of the folds are grown together."""
+    dealt = stage(kfold(train, folds, label), "folds")
+    base, *models = _classifiers(dealt, features, label, trees, depth, seed, fold="fold", folds=folds)
+    pairs = _calibrated(dealt, models, features, label)
     reg = train_diversity_regressor(train.where(F.col(label) == 1), features, target, trees=regressor_trees)
     return SuitabilityModel(list(features), base, pairs, reg)
 
@@ -158,8 +150,7 @@ def score_cells(cells: DataFrame, model: SuitabilityModel, doy_period: float = 3
     x = scoring_features(wet, F.col("acquisition_date"), [*keep, "_water"], model.features, doy_period)
     rated = calibrated_probability(x, model.pairs, model.features, "suitability_probability")
     if model.regressor is not None:
-        r = model.regressor.setFeaturesCol("_x").setPredictionCol("_d")
-        rated = r.transform(_vectors(rated, model.features)).drop("_x")
+        rated = diversity_prediction(rated, model.regressor, model.features, "_d")
     else:
         rated = rated.withColumn("_d", F.lit(0.0))
     p = F.col("suitability_probability")
