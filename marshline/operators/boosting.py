@@ -5,15 +5,17 @@ every fit, the counts, gradients and curvatures in the bins of each open node, a
 nodes x drawn features x bins x 3 numbers, whatever the number of rows. The rule for splits, leaves and draws is that of stochastic gradient
 boosting with Friedman's criterion: each node looks at ``sqrt`` of the features, each tree at a share of the rows, leaves of log loss take a Newton step.
 
-A model takes thousands of passes that wait for one another, and planning a query takes longer than a pass over a small table (measured: 164 ms a pass as a
-DataFrame, 75 ms like this, on a busy machine). The passes therefore run over an RDD of numpy blocks, summed by ``treeReduce``; all else is DataFrames. Blocks
+A model takes thousands of passes that wait for one another, and planning a query takes longer than a pass over a small table (measured on a busy machine: 164 ms a pass
+as a DataFrame, 75 ms like this). The passes therefore run over an RDD of numpy blocks, summed up by ``treeReduce``; all else is DataFrames. Blocks
 carry each row's score under every fit. After ``REFRESH`` trees the scores are brought forward into new blocks, which are kept in memory and on
 disk and can be computed again from the stored bins and the trees; every ``CHECKPOINT`` trees they are written to the shared folder, which cuts their lineage.
+A table of at most ``LOCAL_ROWS`` rows is a single block: nothing has to be summed between tasks, so the same steps run within a task, one for each fit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +26,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from marshline.session import shared_dir, stage
 from marshline.workers import map_arrow, matrix, prepare
 
-BINS, BLOCK_ROWS, REFRESH, CHECKPOINT = 256, 1 << 16, 10, 100
+BINS, BLOCK_ROWS, TASK_ROWS, REFRESH, CHECKPOINT = 256, 1 << 16, 1 << 13, 3, 99
+#: Tables of up to so many rows (12 MB of blocks) are boosted as one block, which tasks share, and every fit is a task.
+LOCAL_ROWS = 1 << 18
+#: So many tasks may send their histograms to the driver; those of more are summed by tasks first.
+DIRECT = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,15 +84,22 @@ def binned_rows(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
 
 def leaves_of(binned: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """The node of one tree in which each row ends; nodes below the given arrays are open."""
-    node = np.zeros(len(binned), np.int64)
-    rows = np.arange(len(binned))
     inner = len(feature)
+    stop = np.full(2 * inner + 1, -1, np.int32)
+    stop[:inner] = feature
+    # Rows that have reached a leaf go on to its left children, whose leaf is looked up at the end.
+    home = np.arange(2 * inner + 1)
+    for i in range(inner):
+        if stop[i] < 0:
+            home[2 * i + 1:2 * i + 3] = home[i]
+            stop[2 * i + 1:2 * i + 3] = -1
+    f = np.maximum(stop[:inner], 0)
+    c = np.where(stop[:inner] >= 0, cut, BINS).astype(np.int16)
+    flat, at = binned.ravel(), np.arange(0, binned.size, binned.shape[1] or 1)
+    node = np.zeros(len(binned), np.int64)
     for _ in range(int(np.log2(inner + 1))):
-        f = feature[np.minimum(node, inner - 1)]
-        on = (node < inner) & (f >= 0)
-        right = binned[rows, np.maximum(f, 0)] > cut[np.minimum(node, inner - 1)]
-        node = np.where(on, 2 * node + 1 + right, node)
-    return node
+        node = 2 * node + 1 + (flat.take(at + f.take(node)) > c.take(node))
+    return home.take(node)
 
 
 def sum_of_trees(binned: np.ndarray, feature: np.ndarray, cut: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -138,7 +151,8 @@ def level_histograms(block: Block, fits: list[dict], loss: str, tree: int, level
         scores = block.scores[i][rows]
         for f, c, v in fit["recent"]:
             scores = scores + fit["step"] * v[leaves_of(bins, f, c)]
-        node = leaves_of(bins, *fit["growing"]) if level else np.zeros(len(rows), np.int64)
+        upper = (1 << level) - 1
+        node = leaves_of(bins, *(x[:upper] for x in fit["growing"])) if level else np.zeros(len(rows), np.int64)
         place = node - ((1 << level) - 1)
         at = np.flatnonzero(place >= 0)  # rows of leaves further up are out
         chosen = fit["drawn"][place[at]]
@@ -225,13 +239,134 @@ def _added(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
     return [x + y for x, y in zip(a, b)]
 
 
+@dataclass
+class Plan:
+    """What a boosting run is asked for; the same for all its fits."""
+
+    width: int
+    loss: str
+    trees: int
+    depth: int
+    step: float
+    subsample: float
+    min_leaf: int
+    seed: int
+
+    @property
+    def inner(self) -> int:
+        return (1 << self.depth) - 1
+
+
+def grow(plan: Plan, fits: list[tuple[int, int]], histograms: Callable, forward: Callable) -> list[dict]:
+    """Trees and importances of the fits, given as (number, fold left out).
+
+    ``histograms(asked, tree, level)`` gives the summed histograms of each fit; ``forward(recent, tree)`` is told the trees since scores were brought forward and
+    returns those that scores still lack.
+    """
+    take = max(1, int(np.sqrt(plan.width)))
+    done = [{"feature": [], "bin": [], "value": [], "importance": np.zeros(plan.width)} for _ in fits]
+    recent: list[list[tuple]] = [[] for _ in fits]
+    for t in range(plan.trees):
+        grown = [(np.full(plan.inner, -1, np.int64), np.zeros(plan.inner, np.int64), np.zeros(2 * plan.inner + 1)) for _ in fits]
+        for level in range(plan.depth):
+            asked = [{"without": k, "recent": recent[i], "step": plan.step, "growing": grown[i][:2],
+                      "drawn": node_features(plan.seed, number, t, level, plan.width, take)} for i, (number, k) in enumerate(fits)]
+            here, split = np.arange(1 << level) + (1 << level) - 1, False
+            for i, hist in enumerate(histograms(asked, t, level)):
+                f, cut, gain, total, left, right = choose_splits(hist, asked[i]["drawn"], plan.min_leaf)
+                feature, bins, value = grown[i]
+                if level == 0:
+                    value[0] = total[1, 0] / total[2, 0] if total[2, 0] > 1e-12 else 0.0
+                feature[here], bins[here] = f, cut
+                on = f >= 0
+                for side, child in ((left, 2 * here + 1), (right, 2 * here + 2)):
+                    value[child[on]] = np.where(side[2, on] > 1e-12, side[1, on] / np.maximum(side[2, on], 1e-12), 0.0)
+                np.add.at(done[i]["importance"], f[on], gain[on])
+                split |= bool(on.any())
+            if not split:
+                break
+        for i, own in enumerate(grown):
+            recent[i].append(own)
+            for name, x in zip(("feature", "bin", "value"), own):
+                done[i][name].append(x)
+        recent = forward(recent, t)
+    return done
+
+
+def _in_one_block(stored: DataFrame, plan: Plan, without: list[int], starts: list[float]) -> list[dict]:
+    """The fits of a table of at most ``LOCAL_ROWS`` rows, a task each: passes over a single block need no exchange."""
+    spark = stored.sparkSession
+    rows = stored.toArrow().to_pylist()
+    shared = spark.sparkContext.broadcast({k: b"".join(r[k] for r in rows) for k in ("bins", "target", "fold", "id")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                block = _opened(shared.value, plan.width, starts[i:i + 1])
+
+                def histograms(asked, t, level):
+                    return level_histograms(block, asked, plan.loss, t, level, plan.seed, plan.subsample)
+
+                def forward(recent, t):
+                    block.scores[0] += plan.step * sum_of_trees(block.bins, *(np.array(x) for x in zip(*recent[0])))
+                    return [[]]
+
+                done, = grow(plan, [(i, without[i])], histograms, forward)
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([pickle.dumps(done)], pa.binary())], names=["fit", "model"])
+
+    fits = spark.range(0, len(without), 1, len(without))
+    found = map_arrow(fits, run, "fit long, model binary").toArrow().to_pylist()
+    shared.destroy()
+    return [pickle.loads(r["model"]) for r in sorted(found, key=lambda r: r["fit"])]
+
+
+def _in_passes(stored: DataFrame, plan: Plan, without: list[int], starts: list[float], rows: int) -> list[dict]:
+    """The fits of a table of any size, all fits in each pass over its blocks."""
+    shared_dir(stored.sparkSession)  # names the folder of checkpoints
+    tasks = max(1, min(stored.rdd.getNumPartitions(), -(-rows // TASK_ROWS)))  # a pass over a few rows costs less than starting a task
+    blocks = stored.coalesce(tasks).rdd.map(lambda r: _opened(r, plan.width, starts)).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = [blocks]
+
+    def histograms(asked, t, level):
+        packed = pickle.dumps(asked, pickle.HIGHEST_PROTOCOL)  # many small arrays travel as one
+
+        def add(part):
+            asked, total = pickle.loads(packed), None
+            for b in part:
+                own = level_histograms(b, asked, plan.loss, t, level, plan.seed, plan.subsample)
+                total = own if total is None else _added(total, own)
+            return [] if total is None else [total]
+
+        added = kept[-1].mapPartitions(add)
+        return added.reduce(_added) if tasks <= DIRECT else added.treeReduce(_added)
+
+    def forward(recent, t):
+        if (t + 1) % REFRESH or t + 1 == plan.trees:
+            return recent
+        packed = pickle.dumps(recent, pickle.HIGHEST_PROTOCOL)
+        fresh = kept[-1].map(lambda b: _forward(b, pickle.loads(packed), plan.step)).persist(StorageLevel.MEMORY_AND_DISK)
+        if (t + 1) % CHECKPOINT == 0:
+            fresh.checkpoint()
+            fresh.count()
+        kept.append(fresh)  # the blocks before still feed these, those before them are free
+        if len(kept) > 2:
+            kept.pop(0).unpersist()
+        return [[] for _ in recent]
+
+    try:
+        return grow(plan, list(enumerate(without)), histograms, forward)
+    finally:
+        for used in kept:
+            used.unpersist()
+
+
 def boost(df: DataFrame, features: list[str], target: str, loss: str, trees: int, depth: int, step: float, subsample: float, min_leaf: int,
           fold: str | None = None, folds: int = 0, base: bool = True, seed: int = 42) -> list[Boosted]:
     """The base fit on all rows (if ``base``), then one fit for each fold on the rows outside it.
 
     Missing feature values count as 0. Rows with a missing target are left out.
     """
-    spark = prepare(df.sparkSession)
+    prepare(df.sparkSession)
     df = df.where(F.col(target).isNotNull())
     cuts = quantile_cuts(df, features)
     stored = stage(blocks_of(df, features, target, fold, cuts), "bins")
@@ -247,57 +382,11 @@ def boost(df: DataFrame, features: list[str], target: str, loss: str, trees: int
             mean = min(max(mean, 1e-6), 1 - 1e-6)
             mean = float(np.log(mean / (1 - mean)))
         starts.append(float(mean))
-    width, take, inner = len(features), max(1, int(np.sqrt(len(features)))), (1 << depth) - 1
-    done = [{"feature": [], "bin": [], "value": [], "importance": np.zeros(width)} for _ in without]
-    shared_dir(spark)  # names the folder of checkpoints
-    blocks = stored.rdd.map(lambda r: _opened(r, width, starts)).persist(StorageLevel.MEMORY_AND_DISK)
-    recent: list[list[tuple]] = [[] for _ in without]
-    previous = None
-    for t in range(trees if sums["n"] else 0):
-        grown = [(np.full(inner, -1, np.int64), np.zeros(inner, np.int64), np.zeros(2 * inner + 1)) for _ in without]
-        for level in range(depth):
-            fits = [{"without": k, "recent": recent[i], "step": step, "growing": grown[i][:2], "drawn": node_features(seed, i, t, level, width, take)}
-                    for i, k in enumerate(without)]
-
-            def histograms(part, fits=fits, t=t, level=level):
-                total = None
-                for b in part:
-                    own = level_histograms(b, fits, loss, t, level, seed, subsample)
-                    total = own if total is None else _added(total, own)
-                return [] if total is None else [total]
-
-            hists = blocks.mapPartitions(histograms).treeReduce(_added)
-            first, split = (1 << level) - 1, False
-            for i, hist in enumerate(hists):
-                f, cut, gain, total, left, right = choose_splits(hist, fits[i]["drawn"], min_leaf)
-                feature, bins, value = grown[i]
-                here = np.arange(1 << level) + first
-                if level == 0:
-                    value[0] = total[1, 0] / total[2, 0] if total[2, 0] > 1e-12 else 0.0
-                feature[here], bins[here] = f, cut
-                on = f >= 0
-                for side, child in ((left, 2 * here + 1), (right, 2 * here + 2)):
-                    value[child[on]] = np.where(side[2, on] > 1e-12, side[1, on] / np.maximum(side[2, on], 1e-12), 0.0)
-                np.add.at(done[i]["importance"], f[on], gain[on])
-                split |= bool(on.any())
-            if not split:
-                break
-        for i, (feature, bins, value) in enumerate(grown):
-            recent[i].append((feature, bins, value))
-            for name, x in zip(("feature", "bin", "value"), (feature, bins, value)):
-                done[i][name].append(x)
-        if (t + 1) % REFRESH == 0 and t + 1 < trees:
-            fresh = blocks.map(lambda b, recent=recent: _forward(b, recent, step)).persist(StorageLevel.MEMORY_AND_DISK)
-            if (t + 1) % CHECKPOINT == 0:
-                fresh.checkpoint()
-                fresh.count()
-            if previous is not None:
-                previous.unpersist()
-            previous, blocks, recent = blocks, fresh, [[] for _ in without]  # the old blocks still feed the fresh ones
-    for used in (previous, blocks):
-        if used is not None:
-            used.unpersist()
-    return [Boosted(list(features), cuts, s, step, loss, *(np.array(d[n], kind).reshape(-1, size) for n, kind, size in (("feature", np.int64, inner), ("bin", np.int64, inner), ("value", float, 2 * inner + 1))), d["importance"])
+    rows = sums["n"]
+    plan = Plan(len(features), loss, trees if rows else 0, depth, step, subsample, min_leaf, seed)
+    done = _in_one_block(stored, plan, without, starts) if rows <= LOCAL_ROWS else _in_passes(stored, plan, without, starts, rows)
+    kinds = (("feature", np.int64, plan.inner), ("bin", np.int64, plan.inner), ("value", float, 2 * plan.inner + 1))
+    return [Boosted(list(features), cuts, s, step, loss, *(np.array(d[n], kind).reshape(-1, size) for n, kind, size in kinds), d["importance"])
             for s, d in zip(starts, done)]
 
 

@@ -63,7 +63,10 @@ def plain_boost(x, y, ids, fits_seed, fit, loss, trees, depth, step, share, min_
 
 
 @pytest.mark.parametrize("loss,target", [("log", "label"), ("square", "target")])
-def test_as_a_plain_computation(spark, data, loss, target, monkeypatch):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_as_a_plain_computation(spark, data, loss, target, local, monkeypatch):
+    monkeypatch.setattr(B, "LOCAL_ROWS", local)
+    monkeypatch.setattr(B, "TASK_ROWS", 300)
     monkeypatch.setattr(B, "REFRESH", 2)  # scores move into new blocks, and those are checkpointed
     monkeypatch.setattr(B, "CHECKPOINT", 4)
     monkeypatch.setattr(B, "BLOCK_ROWS", 100)
