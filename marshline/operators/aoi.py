@@ -11,55 +11,29 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from marshline import constants as K
 from marshline.functions import geometry as G, labels as L
 from marshline.grid import GridSpec, cell_polygon
+from marshline.operators.covers import box_cover, inside, slab_cover
 from marshline.operators.scoring import trend_columns
 from marshline.session import stage
 
-# Index cell sizes, in grid cells. An area is indexed at the smallest size at
-# which its bounding box spans at most MAX_SPAN index cells each way.
-INDEX_SIZES = [1, 8, 64, 512, 4096]
-MAX_SPAN = 16
-# Largest covering table to broadcast, in polygon edges (about 60 bytes each).
+# Largest covering table to broadcast, in slabs and edges (about 60 bytes each).
 BROADCAST_EDGES = 200_000
 
 
-def _cover(aois: DataFrame, grid: GridSpec) -> DataFrame:
-    """One row per area and index cell its bounding box touches (at most 17 x 17)."""
-    b = F.col("bounds")
-    boxed = aois.withColumns({"edges": G.polygon_edges(F.col("polys")), "bounds": G.polygon_bounds(F.col("polys"))})
-    cells = boxed.withColumns({
-        "_x0": grid.ix(b["west"]), "_x1": grid.ix(b["east"]),
-        "_y0": grid.iy(b["south"]), "_y1": grid.iy(b["north"])})
-
-    def at(c: str, size) -> Column:
-        return F.floor(F.col(c) / size)
-
-    size = None
-    for s in INDEX_SIZES[:-1]:
-        s_ = F.lit(s)
-        fits = (at("_x1", s_) - at("_x0", s_) <= MAX_SPAN) & (at("_y1", s_) - at("_y0", s_) <= MAX_SPAN)
-        size = F.when(fits, s) if size is None else size.when(fits, s)
-    sized = cells.withColumn("_size", size.otherwise(INDEX_SIZES[-1]))
-    z = F.col("_size")
-    return (sized
-            .withColumn("_cx", F.explode(F.sequence(at("_x0", z), at("_x1", z))))
-            .withColumn("_cy", F.explode(F.sequence(at("_y0", z), at("_y1", z))))
-            .drop("_x0", "_x1", "_y0", "_y1", "polys"))
-
-
 def spatial_join(points: DataFrame, aois: DataFrame, grid: GridSpec, x: str = "cell_x", y: str = "cell_y",
                  refine: bool = True) -> DataFrame:
     """Points inside each area, with ``aoi_id`` and the area's other columns.
 
     An equi join on covering index cells, then the bounding box, then strict
-    containment (``refine=False`` stops at the box). The covering table is
-    staged and measured first: up to ``BROADCAST_EDGES`` polygon edges it is
+    containment (``refine=False`` stops at the box). The cover says for each slab of
+    an area within a cell whether it is inside, outside or which few edges decide
+    (see ``operators.covers``), so most points need no test. It is
+    staged and measured first: up to ``BROADCAST_EDGES`` slabs and edges it is
     broadcast and the points never move. Beyond that both sides shuffle on the
     index cell, where adaptive execution splits hot cells; the hint keeps a wrong
     size estimate from broadcasting the exploded table.
     """
-    cover = stage(_cover(aois, grid), "cover")
-    size = cover.agg(F.coalesce(F.sum(F.size("edges") + 4), F.lit(0)).alias("edges"),
-                     F.collect_set("_size").alias("used")).first()
+    cover = stage(slab_cover(aois, grid) if refine else box_cover(aois, grid), "cover")
+    size = cover.agg(F.coalesce(F.sum("_cost"), F.lit(0)).alias("edges"), F.collect_set("_size").alias("used")).first()
     cover = F.broadcast(cover) if size["edges"] <= BROADCAST_EDGES else cover.hint("merge")
     used = F.array(*[F.lit(s) for s in sorted(size["used"])]).cast("array<int>")
     keyed = (
@@ -71,8 +45,8 @@ def spatial_join(points: DataFrame, aois: DataFrame, grid: GridSpec, x: str = "c
     hit = px.between(b["west"], b["east"]) & py.between(b["south"], b["north"])
     found = keyed.join(cover, ["_size", "_cx", "_cy"]).where(hit)
     if refine:
-        found = found.where(G.points_in_polygon(px, py, F.col("edges")))
-    return found.drop("_size", "_cx", "_cy", "edges", "bounds")
+        found = found.where(inside(px, py))
+    return found.drop("_size", "_cx", "_cy", "bounds", "_cost", "_slabs", "_first", "_height")
 
 
 def aoi_profile_join(matched: DataFrame, profiles: DataFrame, how: str = "inner") -> DataFrame:
