@@ -1,6 +1,7 @@
 """A training-data pipeline over the documents table: five stages, each written as Parquet and read again by the next.
 
-1. language_id: texts whose language cannot be told (no letters, or no language above half) go; a missing lang is filled in.
+1. language_id: texts whose language cannot be told (no letters, or no language above half) go; a missing lang is filled in. Where no row has a
+   language to learn from, only texts without letters go.
 2. near_dedup: of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays; of repeated rows one stays.
 3. decontaminate: documents that hold a benchmark item, up to the allowed edits, go.
 4. pii: personal data in texts is replaced by its kind in brackets, and n_chars follows.
@@ -20,6 +21,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
+    if not model.languages:  # nothing to tell languages by
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select(*COLUMNS)
     named = langid.predict(docs.select(*COLUMNS, F.col("text").alias("_scored")), model, "_scored", COLUMNS, "_pred", "_score")
     kept = named.where((F.col("_pred") != langid.UNDETERMINED) & (F.col("_score") >= 0.5))
     return kept.withColumn("lang", F.coalesce("lang", "_pred")).select(*COLUMNS)
