@@ -10,7 +10,7 @@ The benchmark is the query set. Its size is measured; blocks of items of at most
 benchmark takes more passes over the documents and never more memory.
 
 Defined results: null or wordless documents match nothing, nor do items without a word. Items with fewer than ``min_words`` words are not
-searched; with 1 every item is, and those too short for two pieces (under 2 * ``min_piece`` words) are found as they are only. Repeated benchmark rows count once; repeated documents each match. Of several passages that match an
+searched; with 1 every item is, and those too short for an edit at the rate are found as they are only. Very long texts are searched whole. Repeated benchmark rows count once; repeated documents each match. Of several passages that match an
 item in one document the nearest is reported, the first of equally near ones.
 """
 
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from marshline.llm.arrow import by_bytes, filled, map_arrow
 from marshline.llm.words import Rolling, hash_words, split_words
@@ -72,9 +73,9 @@ def comparable(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hash_words(words), starts
 
 
-def budget(words: int, error_rate: float, min_piece: int) -> int:
-    """Allowed edits: the rate, as far as all pieces keep ``min_piece`` words."""
-    return max(0, min(int(words * error_rate), words // min_piece - 1))
+def budget(words: int, error_rate: float) -> int:
+    """Allowed edits: the rate alone. Pieces are as short as it asks for, one word at least."""
+    return max(0, min(int(words * error_rate), words - 1))
 
 
 def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
@@ -113,7 +114,7 @@ class Pieces:
     by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
 
-def split_items(ids: list, texts: list[str], error_rate: float, min_piece: int, min_words: int) -> Pieces:
+def split_items(ids: list, texts: list[str], error_rate: float, min_words: int) -> Pieces:
     hashes, starts = comparable(pa.array(texts, pa.string()))
     found: dict[int, list[tuple[int, int, int]]] = {}
     out = Pieces([], [], [])
@@ -121,7 +122,7 @@ def split_items(ids: list, texts: list[str], error_rate: float, min_piece: int,
         own = hashes[starts[i]:starts[i + 1]]
         if len(own) < max(min_words, 1):
             continue
-        k = budget(len(own), error_rate, min_piece)
+        k = budget(len(own), error_rate)
         cuts = [len(own) * p // (k + 1) for p in range(k + 2)]
         roll = Rolling(own)
         for a, b in zip(cuts[:-1], cuts[1:]):
@@ -183,13 +184,14 @@ def blocks(benchmark: DataFrame, item: str, text: str, block_chars: int) -> Iter
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", error_rate: float = 0.15,
-          min_piece: int = 4, min_words: int = 8, block_chars: int = 8 << 20) -> DataFrame:
+          min_words: int = 8, block_chars: int = 8 << 20) -> DataFrame:
     """One row per document and item it holds: ``key``, ``item``, distance, n_words (of the item) and end_word (of the passage)."""
     kinds = dict(df.dtypes) | {"_item": dict(benchmark.dtypes)[item]}
+    item_kind = to_arrow_type(benchmark.schema[item].dataType)
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     out = None
     for ids, texts in blocks(benchmark, item, text, block_chars):
-        shared = df.sparkSession.sparkContext.broadcast(split_items(ids, texts, error_rate, min_piece, min_words))
+        shared = df.sparkSession.sparkContext.broadcast(split_items(ids, texts, error_rate, min_words))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
@@ -198,7 +200,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                 if found:
                     t, i, d, end = zip(*found)
                     yield pa.RecordBatch.from_arrays(
-                        [b.column("_key").take(pa.array(t)), pa.array([items.ids[x] for x in i]), pa.array(d, pa.int64()),
+                        [b.column("_key").take(pa.array(t)), pa.array([items.ids[x] for x in i], item_kind), pa.array(d, pa.int64()),
                          pa.array([len(items.words[x]) for x in i], pa.int64()), pa.array(end, pa.int64())],
                         names=[key, item, "distance", "n_words", "end_word"])
 
@@ -211,11 +213,11 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
 
 def without_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", error_rate: float = 0.15,
-                  min_piece: int = 4, min_words: int = 8, block_chars: int = 8 << 20) -> DataFrame:
+                  min_words: int = 8, block_chars: int = 8 << 20) -> DataFrame:
     """The rows of ``df``, all columns, whose text holds no item. Rows are dropped where they are read: no join, no shuffle."""
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
     for ids, texts in blocks(benchmark, item, text, block_chars):
-        shared = df.sparkSession.sparkContext.broadcast(split_items(ids, texts, error_rate, min_piece, min_words))
+        shared = df.sparkSession.sparkContext.broadcast(split_items(ids, texts, error_rate, min_words))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in by_bytes(batches, text, CALL_BYTES):

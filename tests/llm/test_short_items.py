@@ -29,3 +29,23 @@ def test_code_points_as_words():
     texts = pa.array(["zz", "ab中é文c", "", "ไทย", "한국어 텍스트", "中", "q"]).slice(1)
     words, starts = decontaminate.comparable(texts)
     assert np.diff(starts).tolist() == [5, 0, 3, 2, 1, 1] and words[starts[4]] == words[1]
+
+
+def test_the_rate_alone_sets_the_edits(spark):
+    """Items of seven words may differ by one at 0.15; found against all alignments of small texts."""
+    def distance(item, text):
+        row = [0] * (len(text) + 1)
+        for i, a in enumerate(item, 1):
+            row, old = [i], row
+            for j, b in enumerate(text, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (a != b)))
+        return min(row)
+
+    rng = np.random.default_rng(2)
+    items = [[f"w{x}" for x in rng.integers(0, 9, n)] for n in range(1, 22)]
+    docs = [[f"w{x}" for x in rng.integers(0, 9, 10)] + [w if rng.random() > 0.12 else "zz" for w in item] for item in items for _ in range(3)] + [[]]
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for rate in (0.15,) for r in decontaminate.leaks(
+        spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id int, text string"),
+        spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id int, text string"), error_rate=rate, min_words=1).collect()}
+    want = {(i, j, distance(x, d)) for i, d in enumerate(docs) for j, x in enumerate(items) if distance(x, d) <= int(0.15 * len(x)) and len(d)}
+    assert got == want and any(k == 7 - 1 for _, k, _ in want)
