@@ -4,11 +4,11 @@ Counts of hashed 1- to 3-grams are gathered by Spark for each language, the
 log-probability matrix (languages x 2^bits doubles, so of a size that no corpus changes) is broadcast, and texts are scored in
 numpy batches: every position looks up its row of the matrix and rows are summed by text.
 
-Training reads a bounded sample: about ``per_language`` labelled texts of each language, chosen by a hash of the key. Prior
-probabilities come from all labelled rows. Scoring covers whole texts of any length.
+Training reads a bounded sample: about ``per_language`` different labelled rows of each language, chosen by a hash of key and text; rows that
+repeat count once there. Prior probabilities come from all labelled rows. Scoring covers whole texts of any length.
 
 Defined results: a null text and one without any letter get ``und`` and score 0. Rows with a null label are not learned from. Ties go
-to the language that sorts first. Without labelled rows every text is ``und``. Only the named columns are read.
+to the language that sorts first. Repeated rows each get their result, null keys are values like any other, an empty table gives an empty one. Without labelled rows every text is ``und``. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -94,14 +94,16 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
           smoothing: float = 0.5) -> LanguageModel:
     """Fit on the rows of ``df`` with a label."""
     labelled = df.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_text"), F.col(key).alias("_key"))
-    sizes = {r["_lang"]: r["n"] for r in labelled.groupBy("_lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    found = labelled.groupBy("_lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("_key", "_text"), 0.02).alias("d")).collect()  # one row a language
+    sizes = {r["_lang"]: r["n"] for r in found}
+    distinct = {r["_lang"]: r["d"] for r in found}
     names = sorted(sizes)
     if not names:
         return LanguageModel([], np.zeros(0), np.zeros((0, 1 << BITS)))
-    share = F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, per_language / sizes[n]))])
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "_key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, per_language / max(distinct[n], 1)))])
+    draw = F.pmod(F.xxhash64(F.lit("langid"), "_key", "_text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     place = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
-    sample = labelled.where(draw < share[F.col("_lang")]).select(place[F.col("_lang")].alias("_l"), "_text")
+    sample = labelled.where(draw < share[F.col("_lang")]).dropDuplicates(["_lang", "_key", "_text"]).select(place[F.col("_lang")].alias("_l"), "_text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(names), (1 << BITS) + 1), np.int64)

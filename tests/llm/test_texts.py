@@ -182,3 +182,47 @@ def test_chat_masks(spark):
         text = "".join(tok.decode(r["ids"][m["first"]:m["last"]], skip_special_tokens=False) for m in r["mask_tokens"])
         assert hashlib.sha256(chat.unescape(text).encode()).hexdigest() == got[r["conv_id"]]["loss_sha256"]
     assert chat.format_chats(turns.limit(0), BYTES).count() == 0
+
+
+def plain_bayes(train_rows, texts, smoothing=0.5):
+    """Language by naive Bayes, counting n-grams one by one in dictionaries."""
+    from collections import Counter
+    grams = lambda t: [g for n in range(1, langid.ORDERS + 1) for g in bucket(t.lower(), n)]
+
+    def bucket(t, n):
+        rows, _ = langid.gram_rows([t]) if t else ([np.zeros(0, int)] * 3, None)
+        return [int(g) for g in rows[n - 1] if g < 1 << langid.BITS]
+
+    counts, sizes = {}, Counter()
+    for lang, text in train_rows:
+        counts.setdefault(lang, Counter()).update(grams(text))
+        sizes[lang] += 1
+    out = []
+    for t in texts:
+        logs = {}
+        for lang in sorted(counts):
+            total = sum(counts[lang].values()) + smoothing * (1 << langid.BITS)
+            logs[lang] = np.log(sizes[lang] / sum(sizes.values())) + sum(np.log((counts[lang][g] + smoothing) / total) for g in grams(t))
+        out.append(max(sorted(logs), key=logs.get) if any(c.isalpha() for c in t) else "und")
+    return out
+
+
+def test_language_query_against_plain_counts(spark, tmp_path):
+    from marshline.llm.queries import QUERIES
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").orderBy("doc_id").limit(60).collect() if r["text"]]
+    rows = [(r["doc_id"], r["text"][:400], r["lang"]) for r in docs] + [(1_000_001, "12 34", "en"), (1_000_002, None, "de"), (1_000_003, "wort und satz", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op4_language_id"](spark, str(tmp_path)).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    train = [(lang, text or "") for i, text, lang in rows if not held(i) and lang is not None]
+    want = plain_bayes(train, [t or "" for _, t, _ in rows])
+    assert [got[r[0]]["lang_pred"] for r in rows] == want and all(got[r[0]]["held_out"] == held(r[0]) for r in rows)
+
+
+def test_training_draws_are_bounded_and_leave_no_language_out(spark):
+    rows = [(None, "der hund und die katze", "de")] * 500 + [(7, "le chat et le chien", "fr")] * 300 + [(i, f"the cat number {i}", "en") for i in range(300)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=20)
+    spread = model.log_prob.max(axis=1) - model.log_prob.min(axis=1)
+    assert model.languages == ["de", "en", "fr"] and (spread > 0).all()
+    assert np.allclose(np.exp(model.log_prior), [500 / 1100, 300 / 1100, 300 / 1100])
+    assert langid.predict(spark.createDataFrame([], "doc_id long, text string, lang string"), model).count() == 0
