@@ -1,7 +1,8 @@
 """Personal data by fixed patterns and by bootstrapped lexical contexts, in DataFrame operations only.
 
 Base spans come from four regular expressions. They are the seed entities of the bootstrap: the two words before a seed
-are a lexical pattern, and any token with digits that follows a pattern is an instance. Patterns and
+are a lexical pattern, and a token that follows a pattern is an instance if it meets the token rule (a parameter, ``IDENTIFIER``: four
+characters and two digits or more). Words are taken from the text whatever their length and distance. Patterns and
 instances form a graph that is scored in rounds: a pattern's confidence is the score of its instances over all
 occurrences of its two words in the corpus, whatever follows; an instance's score is one for seeds, else the
 noisy-or of its patterns. Instances of confident patterns with enough different seeds are added as spans of kind ``id``.
@@ -33,7 +34,11 @@ PATTERNS = {
 }
 ADDED = "id"
 _TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
-_CONTEXT = r"(?:^|\s)(\S{1,30})\s+(\S{1,30})\s*$"
+_CONTEXT = r"(?:^|\s)(\S+)\s+(\S+)\s*$"
+_COMPLETE = r"\s\S+\s+\S+\s*$"
+_REVERSED = r"^\s*+(\S++)\s++(\S++)"
+#: What a token must look like, once punctuation at its ends is off, to count as an instance of a pattern: four characters and two digits.
+IDENTIFIER = r"^(?=.{4})[^0-9]*[0-9][^0-9]*[0-9]"
 _REACH, _BLOCK = 70, 128
 _SPAN = "array<struct<s:int,e:int,v:string,before:string>>"
 
@@ -107,12 +112,17 @@ VALID = {
 _NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 
 
-def _context(before: Column) -> Column:
-    low = F.lower(before)
-    return F.struct(F.regexp_extract(low, _CONTEXT, 1).alias("w1"), F.regexp_extract(low, _CONTEXT, 2).alias("w2"))
+def _context(text: Column, start: Column, before: Column) -> Column:
+    """The two words before a match, in lower case; empty where there are fewer. ``before``: up to ``_REACH`` characters before it."""
+    near = F.lower(before)
+    short = F.struct(F.regexp_extract(near, _CONTEXT, 1).alias("w1"), F.regexp_extract(near, _CONTEXT, 2).alias("w2"))
+    # Where long words or wide gaps leave less than two whole words within reach, the text before is read from its end.
+    far = let(F.reverse(F.lower(F.substr(text, F.lit(1), start))), lambda r: F.struct(
+        F.reverse(F.regexp_extract(r, _REVERSED, 2)).alias("w1"), F.reverse(F.regexp_extract(r, _REVERSED, 1)).alias("w2")))
+    return F.when((start <= _REACH) | near.rlike(_COMPLETE), short).otherwise(far)
 
 
-def scan(df: DataFrame, key: str, text: str) -> DataFrame:
+def scan(df: DataFrame, key: str, text: str, identifier: str = IDENTIFIER) -> DataFrame:
     """_id, _h (hash of the text), the base spans and the tokens with digits, each with the two words before it."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(key).alias("_id"), F.xxhash64(body).alias("_h"), body.alias("_text"))
@@ -121,20 +131,20 @@ def scan(df: DataFrame, key: str, text: str) -> DataFrame:
     def kept(k: str) -> Column:
         return F.filter(F.when(F.col("_text").rlike(_NEEDS[k]), found(F.col("_text"), PATTERNS[k])).otherwise(none), lambda x: VALID[k](x["v"])).alias(k)
 
-    out = rows.select("_id", "_h", *map(kept, PATTERNS),
+    out = rows.select("_id", "_h", "_text", *map(kept, PATTERNS),
         F.when(F.col("_text").rlike("[0-9]"), found(F.col("_text"), _TOKEN)).otherwise(none).alias("_tokens"))
 
     def trimmed(x: Column) -> Column:
         lead = F.length(x["v"]) - F.length(F.regexp_replace(x["v"], r"^[^\p{L}\p{N}]+", ""))
         v = F.regexp_replace(F.regexp_replace(x["v"], r"^[^\p{L}\p{N}]+", ""), r"[^\p{L}\p{N}]+$", "")
-        return let(v, lambda w: F.struct((x["s"] + lead).alias("s"), (x["s"] + lead + F.length(w)).alias("e"), w.alias("v"), _context(x["before"]).alias("c")))
+        return let(v, lambda w: F.struct((x["s"] + lead).alias("s"), (x["s"] + lead + F.length(w)).alias("e"), w.alias("v"), _context(F.col("_text"), x["s"], x["before"]).alias("c")))
 
     def base(k: str, i: int) -> Column:
         return F.transform(k, lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("o"), F.lit(k).alias("k"), x["e"].alias("e"), x["v"].alias("v"),
-                                                 _context(x["before"]).alias("c")))
+                                                 _context(F.col("_text"), x["s"], x["before"]).alias("c")))
 
     spans = F.array_sort(F.concat(*[base(k, i) for i, k in enumerate(PATTERNS)]))
-    tokens = F.filter(F.transform("_tokens", trimmed), lambda x: (F.length(x["v"]) >= 4) & x["v"].rlike("[0-9][^0-9]*[0-9]") & (x["c"]["w2"] != ""))
+    tokens = F.filter(F.transform("_tokens", trimmed), lambda x: x["v"].rlike(identifier) & (x["c"]["w2"] != ""))
     return out.select("_id", "_h", *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS], spans.alias("_spans"), tokens.alias("_tokens"))
 
 
@@ -164,9 +174,10 @@ def confident_contexts(scanned: DataFrame, texts: DataFrame, text: str, min_seed
     return trust.where(F.col("trust") >= confidence).select("w1", "w2")
 
 
-def personal_data(df: DataFrame, key: str = "doc_id", text: str = "text", min_seeds: int = 3, confidence: float = 0.5, rounds: int = 3) -> DataFrame:
+def personal_data(df: DataFrame, key: str = "doc_id", text: str = "text", min_seeds: int = 3, confidence: float = 0.5, rounds: int = 3,
+                  identifier: str = IDENTIFIER) -> DataFrame:
     """_id, _h, counts by kind, _spans (base) and _added (of kind ``id``, clear of base spans) of every row."""
-    scanned = stage(scan(df, key, text), "scanned")
+    scanned = stage(scan(df, key, text, identifier), "scanned")
     trusted = confident_contexts(scanned, df, text, min_seeds, confidence, rounds)
     kind = "array<struct<s:int,e:int>>"
     if trusted is None:

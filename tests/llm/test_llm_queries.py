@@ -54,3 +54,10 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() >= 150
+
+
+def test_documents_stay_where_no_language_is_known(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20).selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars")
+    more = spark.createDataFrame([(1, "12 !!", None, "s", 5), (2, None, None, "s", 0), (3, "\u4e2d", None, None, None)], docs.schema)
+    left = [r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(more), SF).collect()]
+    assert len(left) == docs.where(docs["text"].rlike(r"\p{L}")).count() + 1 and corpus_pipeline.language_id(spark, docs.limit(0), SF).count() == 0
