@@ -15,6 +15,8 @@ from marshline.functions.casting import nan_to_null
 from marshline.session import stage
 
 _ALL = "_all"
+#: So many different values of one bracket are ranked in one task at most.
+BRACKET_ROWS = 1_000_000
 
 
 def percentile_name(col: str, p: float) -> str:
@@ -22,14 +24,16 @@ def percentile_name(col: str, p: float) -> str:
 
 
 def exact_percentiles(df: DataFrame, cols: list[str], probs: list[float],
-                      keys: list[str] = (), accuracy: int = 4096, few_groups: bool = True) -> DataFrame:
+                      keys: list[str] = (), accuracy: int = 4096, few_groups: bool = True, budget: int = BRACKET_ROWS) -> DataFrame:
     """Linear-interpolated percentiles of ``cols``, per group when ``keys`` are given.
 
     Returns one row per group with columns ``<col>_p<percent>``. Missing values
     are ignored. Meant for possibly huge groups (labels, clusters, the whole
-    table). The bracket table has one row per group and column; it is broadcast
+    table). The bracket table has one row per group, column and percentile; it is broadcast
     when ``few_groups`` says the keys come from a small closed set, else joined
-    by key, where adaptive execution splits hot keys.
+    by key, where adaptive execution splits hot keys. Brackets that may hold more than
+    ``budget`` different values are narrowed, a pass over the table each time, so that is the most
+    that one task ranks.
     """
     groups = list(keys) or [_ALL]
     src = df if keys else df.withColumn(_ALL, F.lit(0))
@@ -37,36 +41,7 @@ def exact_percentiles(df: DataFrame, cols: list[str], probs: list[float],
     values = (src.select(*groups, F.explode(F.array(*pairs)).alias("e"))
               .select(*groups, "e.feature", "e.value")
               .where(F.col("value").isNotNull() & ~F.isnan("value")))
-
-    # Rank error of the summary is at most n / accuracy, so a bracket of twice
-    # that on each side always contains the wanted ranks. Small groups skip it.
-    margin = 2.0 / accuracy
-    grid = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
-    wide_enough = F.col("n") > accuracy
-    brackets = (
-        values.groupBy(*groups, "feature")
-        .agg(F.count("*").alias("n"), F.percentile_approx("value", grid, accuracy).alias("b"))
-        .select(*groups, "feature", F.array(*[
-            F.struct(
-                F.lit(i).alias("i"),
-                (F.lit(float(p)) * (F.col("n") - 1)).alias("pos"),
-                F.when(wide_enough, F.col("b")[i]).alias("lo"),
-                F.when(wide_enough, F.col("b")[i + len(probs)]).alias("hi"),
-            ) for i, p in enumerate(probs)
-        ]).alias("targets"))
-    )
-
-    # Rows under the bracket collapse to one counted NULL before any shuffle;
-    # rows above it are not needed.
-    inside = (
-        values.join(F.broadcast(brackets) if few_groups else brackets, [*groups, "feature"])
-        .select(*groups, "feature", "value", F.explode("targets").alias("t"))
-        .where(F.col("t.hi").isNull() | (F.col("value") <= F.col("t.hi")))
-        .groupBy(*groups, "feature", F.col("t.i").alias("i"), F.col("t.pos").alias("pos"),
-                 F.when(F.col("t.lo").isNull() | (F.col("value") >= F.col("t.lo")),
-                        F.col("value")).alias("v"))
-        .agg(F.count("*").alias("c"))
-    )
+    inside = ranked_rows(values, brackets(values, groups, probs, accuracy, few_groups, budget), groups, few_groups)
     order = (Window.partitionBy(*groups, "feature", "i").orderBy(F.col("v").asc_nulls_first())
              .rowsBetween(Window.unboundedPreceding, 0))
     ranked = inside.withColumn("upper", F.sum("c").over(order)).withColumn("lower", F.col("upper") - F.col("c"))
@@ -88,6 +63,65 @@ def exact_percentiles(df: DataFrame, cols: list[str], probs: list[float],
     return out if keys else out.drop(_ALL)
 
 
+def brackets(values: DataFrame, groups: list[str], probs: list[float], accuracy: int, few_groups: bool, budget: int) -> DataFrame:
+    """For each group, feature and percentile the wanted rank ``pos`` and bounds ``lo`` and ``hi`` around its value; null bounds: none needed."""
+    # Rank error of the summary is at most n / accuracy, so a bracket of twice
+    # that on each side always contains the wanted ranks. Small groups skip it.
+    margin = 2.0 / accuracy
+    grid = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
+    wide_enough = F.col("n") > accuracy
+    out = stage(
+        values.groupBy(*groups, "feature")
+        .agg(F.count("*").alias("n"), F.percentile_approx("value", grid, accuracy).alias("b"))
+        .select(*groups, "feature", "n", F.inline(F.array(*[
+            F.struct(
+                F.lit(i).alias("i"),
+                (F.lit(float(p)) * (F.col("n") - 1)).alias("pos"),
+                F.when(wide_enough, F.col("b")[i]).alias("lo"),
+                F.when(wide_enough, F.col("b")[i + len(probs)]).alias("hi"),
+            ) for i, p in enumerate(probs)
+        ]))), "brackets")
+    most = out.agg(F.max("n")).first()[0] or 0
+    if most * 3 * margin <= budget:
+        return out.drop("n")
+    return narrowed(values, out.drop("n"), groups, few_groups, budget)
+
+
+def narrowed(values: DataFrame, bounds: DataFrame, groups: list[str], few_groups: bool, budget: int, steps: int = 256) -> DataFrame:
+    """``bounds`` with each bracket narrowed until it holds at most ``budget`` different values, or a single one."""
+    keys = [*groups, "feature"]
+    key = [*keys, "i", "pos", "lo", "hi"]
+    settled, open_ = None, bounds
+    while True:
+        own = F.broadcast(open_) if few_groups else open_
+        held = F.when(F.col("value").between(F.col("lo"), F.col("hi")), F.col("value"))
+        seen = stage(values.join(own, keys).where(F.col("lo").isNull() | (F.col("value") <= F.col("hi"))).groupBy(*key).agg(
+            F.count(F.when(F.col("value") < F.col("lo"), 1)).alias("_below"), F.count(held).alias("_in"), F.approx_count_distinct(held, 0.02).alias("_d"),
+            F.percentile_approx(held, [k / steps for k in range(steps + 1)], 16 * steps).alias("_b")), "narrowed")
+        wide = F.coalesce((F.col("_d") > budget * 0.9) & (F.col("lo") < F.col("hi")), F.lit(False))  # the count of values is off by a few percent
+        done = seen.where(~wide).select(*key)
+        settled = done if settled is None else settled.unionByName(done)
+        more = seen.where(wide)
+        if more.isEmpty():
+            return settled
+        place = F.floor((F.col("pos") - F.col("_below")) / F.col("_in") * steps).cast("int")
+        # One step on each side is more than the summary's error.
+        open_ = more.select(*keys, "i", "pos", F.col("_b")[F.greatest(place - 1, F.lit(0))].alias("lo"), F.col("_b")[F.least(place + 2, F.lit(steps))].alias("hi"))
+
+
+def ranked_rows(values: DataFrame, bounds: DataFrame, groups: list[str], few_groups: bool) -> DataFrame:
+    """Per bracket its different values ``v`` with counts ``c``; all values below it are one null."""
+    # Rows under the bracket collapse to one counted NULL before any shuffle;
+    # rows above it are not needed.
+    return (
+        values.join(F.broadcast(bounds) if few_groups else bounds, [*groups, "feature"])
+        .where(F.col("hi").isNull() | (F.col("value") <= F.col("hi")))
+        .groupBy(*groups, "feature", "i", "pos",
+                 F.when(F.col("lo").isNull() | (F.col("value") >= F.col("lo")), F.col("value")).alias("v"))
+        .agg(F.count("*").alias("c"))
+    )
+
+
 def grouped_medians(df: DataFrame, keys: list[str], cols: list[str], hot_rows: int | None = 1_000_000) -> DataFrame:
     """Exact medians per key for many keys, some of which may be huge.
 

@@ -31,6 +31,27 @@ def test_exact_percentiles(spark):
             assert abs(rows[g]["w_p50"] - part["w"].median()) < 1e-12
 
 
+def test_brackets_are_narrowed_to_a_budget(spark):
+    """One group holds nearly all rows; no task ranks more different values than the budget says, and ties stay exact."""
+    rng = np.random.default_rng(4)
+    n = 60_000
+    v = np.concatenate([rng.normal(size=n // 2), np.full(n // 4, 0.25), rng.normal(loc=9, scale=1e-6, size=n // 4)])
+    pdf = pd.DataFrame({"g": np.where(np.arange(n) < 50, 1, 0), "v": v})
+    df = spark.createDataFrame(pdf)
+    probs, budget = [0.1, 0.5, 0.6, 0.9], 40
+    values = df.select("g", F.lit("v").alias("feature"), F.col("v").alias("value"))
+    for few in (True, False):
+        bounds = S.brackets(values, ["g"], probs, 100, few, budget)
+        sizes = [r["count"] for r in S.ranked_rows(values, bounds, ["g"], few).where("v is not null").groupBy("g", "feature", "i").count().collect()]
+        assert len(sizes) == 8 and max(sizes) <= max(budget, 50) < 100  # 50: the small group, which is ranked whole
+        rows = {r["g"]: r for r in S.exact_percentiles(df, ["v"], probs, ["g"], 100, few, budget).collect()}
+        for g, part in pdf.groupby("g"):
+            for p in probs:
+                assert abs(rows[g][S.percentile_name("v", p)] - part["v"].quantile(p)) < 1e-12
+    wide = S.ranked_rows(values, S.brackets(values, ["g"], probs, 100, True, 10**9), ["g"], True).where("v is not null").groupBy("i", "g").count()
+    assert wide.agg(F.max("count")).first()[0] > 10 * budget  # what it would be without
+
+
 def test_percentiles_of_few_rows(spark):
     for vals in ([3.0], [1.0, 2.0], [1.0, 2.0, 10.0], [5.0, 1.0, 2.0, 7.0]):
         df = spark.createDataFrame([(v,) for v in vals], "v double")
