@@ -13,7 +13,7 @@ from marshline import constants as K
 from marshline.operators import pixels as P, scenes as C, sightings as B
 from marshline.plans import areas
 from marshline.session import new_path
-from marshline.sources import tables as T
+from marshline.sources import manifest as M, tables as T
 
 _SIGHT_COUNTS = f"""count(*) AS n_rows, count(species) AS n_named, {r6('sum(lat)', 'sum_lat', 4)}"""
 
@@ -122,6 +122,25 @@ def pending(spark, d):
     return C.pending_tiles(wanted, manifest)
 
 
+@query("tile_manifest", sql("""SELECT tile_id, time AS period, CASE WHEN max(CAST(scl IN (4, 5, 6, 7, 11) AS INTEGER)) = 1 THEN 'finished' ELSE 'error' END AS status,
+    CASE WHEN max(CAST(scl IN (4, 5, 6, 7, 11) AS INTEGER)) = 1 THEN 1 ELSE 2 END AS attempt,
+    CASE WHEN max(CAST(scl IN (4, 5, 6, 7, 11) AS INTEGER)) = 1 THEN count(*) END AS n_pixels FROM pix GROUP BY tile_id, time""", "pix"))
+def manifest_loop(spark, d):
+    """Tiles are counted until none is open; those without a clear pixel are tried twice."""
+    pixels = X.pixels(spark, d).withColumn("period", F.col("time"))
+    keys, path = ["tile_id", "period"], new_path(spark, "tiles")
+    wanted = pixels.select(*keys).distinct()
+
+    def work(todo):
+        clear = F.max(F.coalesce(F.col("scl").isin(*K.SCL_KEEP["live"]), F.lit(False)))
+        return pixels.join(todo, keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("n_pixels"), clear.alias("clear"))
+
+    while M.process_pending(wanted, path, work, F.col("clear"), max_attempts=2):
+        pass
+    done = M.read_tiles(spark, path, wanted).select(*keys, "n_pixels")
+    return M.read_manifest(spark, path, wanted).join(done, keys, "left").select(*keys, "status", "attempt", "n_pixels")
+
+
 @query("write_table", sql(f"SELECT {_YEARLY} FROM mi GROUP BY 1", "mi"))
 def write_csv(spark, d):
     path = new_path(spark, "csv")
