@@ -162,7 +162,7 @@ def running_totals(df: DataFrame, order: str, values: list[str], buckets: int =
     the bucket totals (at most ``buckets`` rows) are accumulated in one place.
     Adds ``<value>_cum`` columns.
     """
-    per = df.groupBy(order).agg(*[F.sum(v).alias(v) for v in values])
+    per = stage(df.groupBy(order).agg(*[F.sum(v).alias(v) for v in values]), "totals")  # read three times
     cuts = per.agg(F.percentile_approx(
         order, [i / buckets for i in range(1, buckets)], 10 * buckets)).scalar()
     steps = []
