@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import fixtures as X
-from catalog.registry import query, rounded, tidy
+from catalog.registry import ORACLES, query, rounded, tidy
 from catalog.sqlkit import (CTES, amplitude_list, as_list, avgs, bird_list, daily_list, dekad, r6, rcols, season_list, sql,
                             stat_list, temporal, trend_list)
 from marshline import constants as K
+from marshline.functions import geometry as G
 from marshline.operators import pixels as P, profiles as R, sightings as B
 from marshline.plans import habitat as H
 from marshline.session import stage
@@ -94,6 +95,28 @@ def model_input(spark, d):
                 [*_I, "doy_sin", "doy_cos", "shannon_diversity"])
 
 
+def projected_pixels(spark, d):
+    """The pixels as projected rasters deliver them: two of three tiles in metres of their zones, some without naming the zone."""
+    px, zone = X.pixels(spark, d), F.col("tile_id") % 3
+    code = F.when(zone == 0, 32615).when(zone == 1, 32616)
+    x, y = G.to_utm(F.col("lon"), F.col("lat"), F.coalesce(code, F.lit(32615)))
+    return px.withColumns({"x": F.when(code.isNull(), F.col("lon")).otherwise(x), "y": F.when(code.isNull(), F.col("lat")).otherwise(y),
+                           "epsg": F.when(F.dayofmonth("time") % 2 == 0, code)}).drop("lon", "lat")
+
+
+@query("locate_pixels", sql(f"""SELECT tile_id, count(*) AS n_rows, {r6('avg(lon)', 'lon')}, {r6('avg(lat)', 'lat')} FROM pix GROUP BY tile_id""", "pix"))
+def located(spark, d):
+    df = P.locate_pixels(projected_pixels(spark, d), epsg="epsg")
+    return tidy(df.groupBy("tile_id").agg(F.count("*").alias("n_rows"), F.avg("lon").alias("lon"), F.avg("lat").alias("lat")), ["tile_id", "n_rows"], ["lon", "lat"])
+
+
+@query("projected_model_input", ORACLES["model_input"])
+def projected_input(spark, d):
+    px = P.locate_pixels(projected_pixels(spark, d), epsg="epsg")
+    mi = H.model_input(px, X.observations(spark, d), X.GRID, order_names=[])
+    return tidy(mi, ["ix", "iy", "dekad", *_TEMP, "n_observations", "n_species", "n_individuals"], [*_I, "doy_sin", "doy_cos", "shannon_diversity"])
+
+
 def _profile(name: str, pairs, fn):
     names = [n for n, _ in pairs]
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marshline import constants as K
-from marshline.functions import spectral as S
+from marshline.functions import geometry as G, spectral as S
 from marshline.functions.dates import assign_dekad
 from marshline.grid import in_bbox
 from marshline.operators.selection import grouped_medians
@@ -178,3 +178,21 @@ def guess_utm_zone(df: DataFrame, x: str = "x", keys: list[str] = ()) -> DataFra
     """EPSG code guessed from the mean easting, for a study area astride 90 W."""
     epsg = F.when(F.avg(x) < 500000, 32616).otherwise(32615).alias("epsg")
     return df.groupBy(*keys).agg(epsg) if keys else df.agg(epsg)
+
+
+def locate_pixels(df: DataFrame, raster: list[str] = ("tile_id", "time"), x: str = "x", y: str = "y", epsg: str | None = None) -> DataFrame:
+    """Replace ``x``, ``y`` (and ``epsg``) by ``lon`` and ``lat``, each raster by its own coordinates.
+
+    A raster whose coordinates go beyond 360 is projected: by its ``epsg``, or without one by the zone that its mean easting suggests. Others are in
+    degrees. The routes, one small row a raster, come from one aggregate that combines map-side and are joined back.
+    """
+    keys = list(raster)
+    code = F.max(F.col(epsg).cast("int")) if epsg else F.lit(None).cast("int")
+    seen = df.groupBy(*keys).agg((F.max(F.greatest(F.abs(x), F.abs(y))) > 360).alias("_projected"), code.alias("_given"), F.avg(x).alias("_mean"))
+    routes = stage(seen.select(*keys, F.when(F.col("_projected"), F.coalesce("_given", F.when(F.col("_mean") < 500000, 32616).otherwise(32615))).alias("_epsg")), "routes")
+    # Null-safe on every key: a raster without a time is a raster.
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    routed = df.alias("p").join(routes.alias("r"), same).select("p.*", "r._epsg")
+    lon, lat = G.to_lonlat(F.col(x), F.col(y), F.col("_epsg"))
+    flat = F.col("_epsg").isNull()
+    return routed.withColumns({"lon": F.when(flat, F.col(x)).otherwise(lon), "lat": F.when(flat, F.col(y)).otherwise(lat)}).drop("_epsg", x, y, *([epsg] if epsg else []))

@@ -181,3 +181,23 @@ def test_geojson_ring_is_closed(spark):
     ring = f["geometry"]["coordinates"][0]
     assert len(ring) == 5 and ring[0] == ring[-1]
     assert f["properties"] == {"suitability": 41.2, "probability": 0.412, "archetype": "Marginal", "predicted_diversity": 1.1}
+
+
+def test_rasters_are_located_by_their_own_coordinates(spark):
+    """Degrees, a named zone, a zone guessed from the extent, a raster without a time; points within a millimetre."""
+    rows, want = [], {}
+    points = [(-90.4 + 0.001 * i, 29.2 + 0.002 * i) for i in range(5)]
+    for raster, (zone, named) in {"deg": (None, None), "named": (32616, 32616), "west": (32615, None), "east": (32616, None), "south": (32715, 32715)}.items():
+        for i, (lon, lat) in enumerate(points):
+            rows.append((raster, None if raster == "deg" else "2024-01-01", i, lon, -lat if raster == "south" else lat, zone, named))
+            want[raster, i] = rows[-1][3:5]
+    df = spark.createDataFrame(rows, "tile_id string, time string, id int, lo double, la double, zone int, named int")
+    x, y = G.to_utm(F.col("lo"), F.col("la"), F.coalesce("zone", F.lit(32615)))
+    flat = F.col("zone").isNull()
+    given = df.select("tile_id", "time", "id", F.when(flat, F.col("lo")).otherwise(x).alias("x"), F.when(flat, F.col("la")).otherwise(y).alias("y"), F.col("named").alias("epsg"))
+    got = P.locate_pixels(given, epsg="epsg")
+    assert got.columns == ["tile_id", "time", "id", "lon", "lat"]
+    for r in got.collect():
+        lon, lat = want[r["tile_id"], r["id"]]
+        assert abs(r["lon"] - lon) < 1e-8 and abs(r["lat"] - lat) < 1e-8
+    assert P.locate_pixels(given.limit(0), epsg="epsg").count() == 0 and got.count() == 25
