@@ -6,19 +6,22 @@ comparison where both have one, else Last-Modified values; without a common vali
 response's headers with those of the revisit laid over them, except for headers that describe the payload as sent, which a not-modified
 response may not change.
 
-As-of join without a hot task: URLs with more than ``bucket_rows`` records are cut into time buckets at approximate quantiles of
-their times. The latest response within a bucket comes from a window; the latest one of the buckets before from a window over bucket summaries. So
-a URL that a third of all records share is spread over as many tasks as its size asks for.
+As-of join without a hot task: records are counted by URL first, and URLs with more than ``bucket_rows`` are cut into time buckets of about that size at
+approximate quantiles of their times. The latest response within a bucket comes from a window; the latest one of the buckets before from a window over bucket
+summaries. An instant that holds several buckets' worth of records becomes a bucket of its own, and since records of one instant never look at each other,
+its records are dealt to as many tasks at random. So a URL that a third of all records share is spread over as many tasks as its size asks for.
 
 Defined results: a record with null url or null time resolves to nothing (``no_response``). Of several responses at one time
 the one with the largest record id is the latest; a response at the revisit's own time is not earlier. Repeated rows each resolve. Null
-header maps are empty. Other columns of the input are left out.
+header maps are empty. Null record ids are values like any other; records with a null status are neither responses nor revisits and give no row. Other columns of the input are left out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from marshline.session import stage
+
 #: Headers of the stored response that a not-modified response leaves alone.
 PAYLOAD_HEADERS = ["content-encoding", "content-length", "content-md5", "content-range", "content-type", "digest", "trailer", "transfer-encoding"]
 
@@ -58,6 +61,27 @@ def merged_headers(revisit: Column, response: Column) -> Column:
     return F.map_concat(F.map_filter(response, lambda k, v: ~F.map_contains_key(fresh, k)), fresh)
 
 
+def in_buckets(known: DataFrame, busy: DataFrame, parts: int, bucket_rows: int) -> DataFrame:
+    """``known`` with a time bucket for each row of a busy URL, and a salt for rows of an instant that fills several buckets. ``parts``: buckets of the busiest URL."""
+    micros = F.unix_micros("time")
+    marks = known.join(busy, "_url", "left_semi").groupBy("_url").agg(
+        F.percentile_approx(micros, [i / parts for i in range(1, parts)], 20 * parts).alias("_all"))
+    # Smaller URLs take every so many of these cuts.
+    step = F.greatest(F.floor(parts * F.lit(bucket_rows) / F.col("_n")), F.lit(1))
+    own = marks.join(busy, "_url").select("_url", F.filter("_all", lambda c, i: (i + 1) % step == 0).alias("_all"))
+
+    def repeats(c: Column) -> Column:
+        return F.size(F.filter("_all", lambda x: x == c))
+
+    heavy = F.filter(F.array_distinct("_all"), lambda c: repeats(c) > 1)
+    cuts = own.select("_url", F.array_sort(F.array_distinct(F.concat("_all", F.transform(heavy, lambda c: c + 1)))).alias("_cuts"),
+                      F.map_from_entries(F.transform(heavy, lambda c: F.struct(c, repeats(c) + 1))).alias("_heavy"))
+    placed = known.withColumn("_draw", F.xxhash64("record_id", F.monotonically_increasing_id())).join(cuts, "_url", "left")
+    bucket = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= micros)), F.lit(0))
+    salt = F.coalesce(F.pmod(F.col("_draw"), F.try_element_at("_heavy", micros)), F.lit(0))
+    return placed.withColumns({"_bucket": bucket, "_salt": salt.cast("int")}).drop("_cuts", "_heavy", "_draw")
+
+
 def resolve_revisits(records: DataFrame, bucket_rows: int = 1_000_000) -> DataFrame:
     """One row per revisit (record_id, url, time): response_id, outcome and the merged headers as a sorted list of "name: value".
 
@@ -65,15 +89,16 @@ def resolve_revisits(records: DataFrame, bucket_rows: int = 1_000_000) -> DataFr
     """
     rows = records.select("record_id", "url", "time", "status", lower_keys(F.col("headers")).alias("_headers"), canonical_url(F.col("url")).alias("_url"))
     known = rows.where("status in (200, 304) and _url is not null and time is not null")
-    # Cut points of busy URLs only: a table of at most total / bucket_rows rows.
-    busy = known.groupBy("_url").agg(F.count("*").alias("_n"), F.percentile_approx(F.unix_micros("time"), [i / 64 for i in range(1, 64)], 1000).alias("_cuts"))
-    cuts = busy.where(F.col("_n") > bucket_rows).select("_url", F.array_distinct("_cuts").alias("_cuts"))
-    placed = known.join(cuts, "_url", "left").withColumn(
-        "_bucket", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.unix_micros("time"))), F.lit(0))).drop("_cuts")
+    busy = stage(known.groupBy("_url").agg(F.count("*").alias("_n")).where(F.col("_n") > bucket_rows), "busy")
+    most = busy.agg(F.max("_n")).first()[0]
+    if most is None:
+        placed = known.withColumns({"_bucket": F.lit(0), "_salt": F.lit(0)})
+    else:
+        placed = in_buckets(known, busy, -(-most // bucket_rows), bucket_rows)
     full = F.when(F.col("status") == 200, F.struct("time", F.col("record_id").alias("id"), F.col("_headers").alias("headers")))
     # Strictly earlier: order by time and look back over times below the current one.
     micros = F.unix_micros("time")
-    inside = Window.partitionBy("_url", "_bucket").orderBy(micros).rangeBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_url", "_bucket", "_salt").orderBy(micros).rangeBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("_url").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     latest = F.max_by(full, F.when(F.col("status") == 200, F.struct("time", "record_id")))
     summaries = placed.groupBy("_url", "_bucket").agg(latest.alias("_last")).select(
