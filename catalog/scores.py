@@ -355,10 +355,8 @@ def matched_profiles(spark, d, orders=()):
     AND lon < (x2 - x1) * (lat - y1) / (CASE WHEN y2 = y1 THEN NULL ELSE y2 - y1 END) + x1) % 2 = 1) GROUP BY aoi_id""",
     "pix", "aoi_b", "aoi_e"))
 def pixel_areas(spark, d):
-    # The file may be a single split: its points are dealt to all cores before they are tested.
-    points = X.pixels(spark, d).select("site", "lon", "lat").repartition(spark.sparkContext.defaultParallelism)
-    return A.spatial_join(points, X.aois(spark, d), X.GRID, "lon", "lat").groupBy("aoi_id").agg(
-        F.count("*").alias("n_pixels"), F.count_distinct("site").alias("n_sites"))
+    points = X.pixels(spark, d).select("site", "lon", "lat")
+    return A.point_counts(points, X.aois(spark, d), X.GRID, "site").withColumnRenamed("n_points", "n_pixels")
 
 
 @query("aoi_profile_join", sql(f"SELECT aoi_id, ix, iy, trajectory, {rcols(['NDVI_mean', 'n_observations_sum'])} FROM aoires", "aoires"))

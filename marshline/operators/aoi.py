@@ -19,20 +19,15 @@ from marshline.session import stage
 BROADCAST_EDGES = 200_000
 
 
-def spatial_join(points: DataFrame, aois: DataFrame, grid: GridSpec, x: str = "cell_x", y: str = "cell_y",
-                 refine: bool = True) -> DataFrame:
-    """Points inside each area, with ``aoi_id`` and the area's other columns.
+def outlines(aois: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each different outline once (``_shape``, ``polys``), and the areas by outline: ``_shape`` and their other columns."""
+    keyed = stage(aois.withColumn("_shape", F.sha2(F.to_json("polys"), 256)), "areas")
+    return keyed.select("_shape", "polys").dropDuplicates(["_shape"]), keyed.drop("polys")
 
-    An equi join on covering index cells, then the bounding box, then strict
-    containment (``refine=False`` stops at the box). The cover says for each slab of
-    an area within a cell whether it is inside, outside or which few edges decide
-    (see ``operators.covers``), so most points need no test. It is
-    staged and measured first: up to ``BROADCAST_EDGES`` slabs and edges it is
-    broadcast and the points never move. Beyond that both sides shuffle on the
-    index cell, where adaptive execution splits hot cells; the hint keeps a wrong
-    size estimate from broadcasting the exploded table.
-    """
-    cover = stage(slab_cover(aois, grid) if refine else box_cover(aois, grid), "cover")
+
+def _join_outlines(points: DataFrame, shapes: DataFrame, grid: GridSpec, x: str, y: str, refine: bool = True) -> DataFrame:
+    """Points inside each outline, with the outline's other columns."""
+    cover = stage(slab_cover(shapes, grid) if refine else box_cover(shapes, grid), "cover")
     size = cover.agg(F.coalesce(F.sum("_cost"), F.lit(0)).alias("edges"), F.collect_set("_size").alias("used")).first()
     cover = F.broadcast(cover) if size["edges"] <= BROADCAST_EDGES else cover.hint("merge")
     used = F.array(*[F.lit(s) for s in sorted(size["used"])]).cast("array<int>")
@@ -49,6 +44,38 @@ def spatial_join(points: DataFrame, aois: DataFrame, grid: GridSpec, x: str = "c
     return found.drop("_size", "_cx", "_cy", "bounds", "_cost", "_slabs", "_first", "_height")
 
 
+def spatial_join(points: DataFrame, aois: DataFrame, grid: GridSpec, x: str = "cell_x", y: str = "cell_y",
+                 refine: bool = True) -> DataFrame:
+    """Points inside each area, with ``aoi_id`` and the area's other columns.
+
+    An equi join on covering index cells, then the bounding box, then strict
+    containment (``refine=False`` stops at the box). The cover says for each slab of
+    an area within a cell whether it is inside, outside or which few edges decide
+    (see ``operators.covers``), so most points need no test. It is
+    staged and measured first: up to ``BROADCAST_EDGES`` slabs and edges it is
+    broadcast and the points never move. Beyond that both sides shuffle on the
+    index cell, where adaptive execution splits hot cells; the hint keeps a wrong
+    size estimate from broadcasting the exploded table. Areas of one outline are covered
+    and tested once; what was found is joined to all of them.
+    """
+    shapes, members = outlines(aois)
+    return _join_outlines(points, shapes, grid, x, y, refine).join(members, "_shape").drop("_shape")
+
+
+def point_counts(points: DataFrame, aois: DataFrame, grid: GridSpec, site: str, x: str = "lon", y: str = "lat") -> DataFrame:
+    """Number of points and of different sites inside each area that has any; areas need an ``aoi_id``.
+
+    Equal points are counted before they are tested, and areas of one outline are counted once, so the tests
+    grow with the different points and outlines, not with the rows.
+    """
+    shapes, members = outlines(aois)
+    places = points.groupBy(F.col(site).alias("_site"), x, y).agg(F.count("*").alias("_n"))
+    # Few bytes may need many tests: the places are dealt to all cores.
+    dealt = places.repartition(4 * points.sparkSession.sparkContext.defaultParallelism)
+    sites = _join_outlines(dealt, shapes, grid, x, y).groupBy("_shape", "_site").agg(F.sum("_n").alias("_n"))
+    return members.join(sites, "_shape").groupBy("aoi_id").agg(F.sum("_n").alias("n_points"), F.count_distinct("_site").alias("n_sites"))
+
+
 def aoi_profile_join(matched: DataFrame, profiles: DataFrame, how: str = "inner") -> DataFrame:
     """Attach profiles to matched cells on the cell key."""
     extra = [c for c in profiles.columns if c in ("ix", "iy") or c not in matched.columns]

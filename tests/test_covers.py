@@ -84,3 +84,17 @@ def test_areas_that_hold_nothing(spark):
     empty = spark.createDataFrame([], "aoi_id int, polys array<array<array<struct<x:double,y:double>>>>, name string")
     pts = spark.createDataFrame([(1, -90.0, 29.5)], "id int, lon double, lat double")
     assert A.spatial_join(pts, empty, GRID, "lon", "lat").count() == 0
+
+
+def test_equal_outlines_are_covered_once_and_equal_points_tested_once(spark, monkeypatch):
+    rings, seen = SHAPES["ring with a hole"], []
+    many = {f"{k} {i}": v for i in range(30) for k, v in (("a", rings), ("b", SHAPES["comb"]))}
+    rng = np.random.default_rng(2)
+    px, py = (rng.choice(rng.uniform(a, b, 40), 2000) for a, b in ((-90.6, -89.9), (29.0, 29.8)))
+    monkeypatch.setattr(A, "slab_cover", lambda aois, grid: seen.append(aois.count()) or C.slab_cover(aois, grid))
+    got = {(r["name"], r["id"]) for r in joined(spark, many, px, py).collect()}
+    assert got == {(n, i) for n, r in many.items() for i in np.flatnonzero(brute(r, px, py)).tolist()} and seen == [2]
+    aois = spark.createDataFrame([*area_rows(many), (0, [[[*map(tuple, SHAPES["comb"][0])]]], "again")], "aoi_id int, polys array<array<array<struct<x:double,y:double>>>>, name string")
+    pts = spark.createDataFrame([(i % 7 or None, float(a), float(b)) for i, (a, b) in enumerate(zip(px, py))], "site int, lon double, lat double")
+    plain = A.spatial_join(pts, aois, GRID, "lon", "lat").groupBy("aoi_id").agg(F.count("*"), F.count_distinct("site"))
+    assert {tuple(r) for r in A.point_counts(pts, aois, GRID, "site").collect()} == {tuple(r) for r in plain.collect()} and plain.count() == 60
