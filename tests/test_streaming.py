@@ -2,8 +2,10 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF
 from marshline import GridSpec
 from marshline.functions.dates import assign_dekad
 from marshline.grid import assign_grid_cell
@@ -71,3 +73,16 @@ def test_a_batch_that_is_written_again_after_a_merge_counts_once(spark, tmp_path
     for i in (0, 1, 2, 2, 3):  # batch 2 is tried twice; the merge comes with it
         R._fold(spark.createDataFrame([("x", 1), (f"b{i}", 1)], "k string, n long"), i, out, merge, compact_every=2)
     assert {r["k"]: r["n"] for r in merge(R._live(spark, out)).collect()} == {"x": 4, "b0": 1, "b1": 1, "b2": 1, "b3": 1}
+
+
+@pytest.mark.parametrize("name,rows", [("stream_latest_cells", 500), ("stream_bird_metrics", 100)])
+def test_more_rows_arrive_as_more_files(spark, tmp_path, monkeypatch, name, rows):
+    from catalog import load
+    want = [tuple(r) for r in load().QUERIES[name](spark, SF).collect()]
+    from catalog import models
+    monkeypatch.setattr(models, "FILE_ROWS", rows)
+    monkeypatch.setattr(models, "new_path", lambda spark, kind: str(tmp_path / kind))
+    assert {tuple(r) for r in load().QUERIES[name](spark, SF).collect()} == set(want)
+    source = spark.read.parquet(str(next(tmp_path.glob("*_in"))))
+    sizes = [r["count"] for r in source.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 2 * rows  # four files whatever the table, before
