@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marshline import constants as K
@@ -27,18 +31,35 @@ def read_pixels(spark: SparkSession, path: str, tiles: list[int] | None = None,
     return normalise_nulls(df)
 
 
+def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each file's lines, in order, those up to the first that holds more than blanks, commas and quotes; columns value, _file."""
+    seen, done = {}, set()
+    for b in batches:
+        for name in pc.unique(b.column(1)).to_pylist():
+            if name in done:
+                continue
+            own = b.filter(pc.equal(b.column(1), name))
+            last = pc.index(pc.match_substring_regex(own.column(0), r'[^ \t\n\x0B\f\r,"]'), True).as_py()
+            if last >= 0:
+                done.add(name)
+                own = own.slice(0, last + 1)
+            start = seen.get(name, 0)
+            seen[name] = start + own.num_rows
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(range(start, seen[name]), pa.int64())], names=["value", "_file", "_line"])
+
+
 def read_delimited_sightings(spark: SparkSession, path: str) -> DataFrame:
     """All-string rows of a header-led text export without quoting rules.
 
     The delimiter is a tab when the header has one, else a comma. Rows with more
     fields than the header are dropped, shorter ones padded, missing-value texts
-    become NULL. Only the header lines are looked at eagerly: of several files,
-    all must have the same one.
+    become NULL. Only the header lines are looked at eagerly, and of a file only the lines up
+    to its header are grouped: of several files, all must have the same one.
     """
     text = spark.read.text(path)
     lines = unwrap_quoted_lines(text).where(F.col("value") != "")
-    starts = (unwrap_quoted_lines(text.where(F.col("_metadata.file_block_start") == 0)
-                                  .select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line")))
+    first = text.where(F.col("_metadata.file_block_start") == 0).select("value", F.col("_metadata.file_path").alias("_file"))
+    starts = (unwrap_quoted_lines(first.mapInArrow(_tops, "value string, _file string, _line long"))
               .where(F.col("value") != "").groupBy("_file").agg(F.min_by("value", "_line").alias("header")))
     headers = [r["header"] for r in starts.select("header").distinct().limit(2).collect()]
     if len(headers) != 1:

@@ -201,3 +201,19 @@ def test_rasters_are_located_by_their_own_coordinates(spark):
         lon, lat = want[r["tile_id"], r["id"]]
         assert abs(r["lon"] - lon) < 1e-8 and abs(r["lat"] - lat) < 1e-8
     assert P.locate_pixels(given.limit(0), epsg="epsg").count() == 0 and got.count() == 25
+
+
+def test_header_is_found_without_grouping_the_lines_after_it(spark, tmp_path, monkeypatch):
+    """Odd lines before a header, several files, and no more rows grouped than those lines."""
+    lead = ["", ",,  ", '""', '"', '"",, ']
+    for i in range(3):
+        (tmp_path / f"{i}.txt").write_text("\n".join([*lead[:i + 2], '"a,b",,', *(f"{j},x" for j in range(12_000)), ""]))
+    taken = []
+    plain = T.unwrap_quoted_lines
+    monkeypatch.setattr(T, "unwrap_quoted_lines", lambda df: taken.append(df) or plain(df))
+    got = T.read_delimited_sightings(spark, str(tmp_path))
+    assert got.columns == ["a", "b"] and got.where("b = 'x'").count() == 36_000
+    assert [df.count() for df in taken if "_line" in df.columns] == [3 + 4 + 5]
+    (tmp_path / "3.txt").write_text("a;b\n1;2\n")
+    with pytest.raises(ValueError):
+        T.read_delimited_sightings(spark, str(tmp_path))
