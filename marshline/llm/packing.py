@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,18 @@ CALL_BYTES = 2 << 20
 _KNOWN_WORDS, _NEW_WORDS = 300_000, 10_000
 
 
+class Codes(dict):
+    """Numbers of words in order of their first look-up, with the words that are new."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = code = len(self)
+        return code
+
+
 class WordIds:
     """Ids of whole texts by way of their words, for tokenizers whose tokens never span a blank.
 
@@ -41,24 +54,25 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self._code: dict[str, int] = {}
+        self._code = Codes()
+        self._stems: dict[str, tuple[int, ...]] = {}
         self._pool = np.zeros(0, np.uint32)
         self._end = np.zeros(1, np.int64)
 
     def _codes(self, words: list[str]) -> np.ndarray:
         if len(self._code) > _KNOWN_WORDS:
             self._clear()
-        new = [w for w in words if w not in self._code]
+        codes = np.fromiter(map(self._code.__getitem__, words), np.int64, len(words))
+        new, self._code.new = self._code.new, []
         pools, sizes = [self._pool], []
         for i in range(0, len(new), _NEW_WORDS):
-            ids = self._enc.word_ids(new[i:i + _NEW_WORDS])
+            ids = self._enc.word_ids(new[i:i + _NEW_WORDS], self._stems)
             sizes += map(len, ids)
-            pools.append(np.array([x for ws in ids for x in ws], np.uint32))
+            pools.append(np.fromiter(chain.from_iterable(ids), np.uint32))
         if new:
-            self._code.update(zip(new, range(len(self._code), len(self._code) + len(new))))
             self._pool = np.concatenate(pools)
             self._end = np.concatenate([self._end, self._end[-1] + np.cumsum(sizes, dtype=np.int64)])
-        return np.fromiter(map(self._code.__getitem__, words), np.int64, len(words))
+        return codes
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's start (one more entry than texts)."""

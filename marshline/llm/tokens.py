@@ -19,7 +19,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -61,20 +61,26 @@ class Encoder:
         else:
             raise ValueError(f"neither a .json nor a .model file: {path}")
 
-    def word_ids(self, words: list[str]) -> list[list[int]]:
-        """Ids of single words. Words of Latin letters with closing punctuation go straight to the library's merge model, where normalizer and
+    def word_ids(self, words: list[str], stems: dict[str, tuple[int, ...]] | None = None) -> list[Sequence[int]]:
+        """Ids of single words, not to be changed; ``stems`` remembers those of letters from call to call, and is for the caller to bound. Words of Latin letters with closing punctuation go straight to the library's merge model, where normalizer and
         pre-tokenizer are known to pass them on as letters and punctuation in lower case; all others take the whole way."""
         if not self.merges_letters:
             return self.ids(words)
-        merge, out, rest = self._tok.model.tokenize, [], []
+        merge, out, rest, tails = self._tok.model.tokenize, [], [], {"": ()}
+        stems = {} if stems is None else stems
         for i, w in enumerate(words):
             known = _LATIN_WORD.fullmatch(w)
             if known:
                 letters, tail = known.groups()
-                letters = letters.lower()
-                if not letters.isascii():
-                    letters = letters.encode("utf-8").decode("latin-1").translate(_SHOWN)
-                out.append([t.id for t in merge(letters)] + [t.id for t in merge(tail)] if tail else [t.id for t in merge(letters)])
+                ids = stems.get(letters)
+                if ids is None:
+                    low = letters.lower()
+                    if not low.isascii():
+                        low = low.encode("utf-8").decode("latin-1").translate(_SHOWN)
+                    ids = stems[letters] = tuple([t.id for t in merge(low)])
+                if tail not in tails:
+                    tails[tail] = tuple([t.id for t in merge(tail)])
+                out.append(ids + tails[tail] if tail else ids)
             else:
                 out.append([])
                 rest.append(i)

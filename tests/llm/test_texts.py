@@ -226,3 +226,31 @@ def test_training_draws_are_bounded_and_leave_no_language_out(spark):
     assert model.languages == ["de", "en", "fr"] and (spread > 0).all()
     assert np.allclose(np.exp(model.log_prior), [500 / 1100, 300 / 1100, 300 / 1100])
     assert langid.predict(spark.createDataFrame([], "doc_id long, text string, lang string"), model).count() == 0
+
+
+def test_words_of_the_same_letters_are_merged_once():
+    import public_tokenizers
+    import pyarrow as pa
+
+    from marshline.llm.packing import WordIds
+    from marshline.llm.tokens import encoder
+
+    enc, seen = encoder(public_tokenizers.path("word_bpe_49k.json")), []
+
+    class Spy:
+        def __init__(self, model):
+            self.model = self
+            self.tokenize = lambda word: seen.append(word) or model.tokenize(word)
+
+    class Watched(type(enc)):
+        def __init__(self):
+            self.__dict__.update(enc.__dict__)
+            self._tok = Spy(enc._tok.model)
+            self.ids = enc.ids
+
+    texts = ["River, river. River! river", "river? Ärger; Ärger, naïve 42nd", "", "River, Ärger. 42nd"]
+    known = WordIds(Watched())
+    for part in (texts[:2], texts[2:]):
+        ids, ends = known.ids(pa.array(part))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == enc.ids(part)
+    assert len(seen) > 0 and sum(w == "river" for w in seen) == 2  # as written and with a capital; five times before
