@@ -50,7 +50,7 @@ def composite(spark, d):
 
 @query("dedupe_overlaps", sql(f"SELECT ix, iy, dekad, {rcols(_I)} FROM sat", "sat"))
 def dedupe(spark, d):
-    return tidy(H.cell_dekads(B.filter_years(X.pixels(spark, d), date="time"), X.GRID), ["ix", "iy", "dekad"], _I)
+    return tidy(H.cell_dekads(B.filter_years(X.pixels(spark, d), date="time"), X.GRID, sparse=True), ["ix", "iy", "dekad"], _I)
 
 
 @query("cell_bird_metrics", sql("SELECT ix, iy, dekad, n_observations, n_species, n_individuals FROM bird", "bird"))
@@ -113,7 +113,7 @@ def located(spark, d):
 @query("projected_model_input", ORACLES["model_input"])
 def projected_input(spark, d):
     px = P.locate_pixels(projected_pixels(spark, d), epsg="epsg")
-    mi = H.model_input(px, X.observations(spark, d), X.GRID, order_names=[])
+    mi = H.model_input(px, X.observations(spark, d), X.GRID, order_names=[], sparse=True)
     return tidy(mi, ["ix", "iy", "dekad", *_TEMP, "n_observations", "n_species", "n_individuals"], [*_I, "doy_sin", "doy_cos", "shannon_diversity"])
 
 
@@ -179,7 +179,7 @@ def cell_profiles(spark, d):
     r6(f'coalesce(v, median(v) OVER ())', 'MNDWI_wet') for _ in [0]) + """ FROM (SELECT ix, iy,
     avg("MNDWI") FILTER (WHERE water_mask > 0.6) AS v FROM sat GROUP BY ix, iy)""", "sat"))
 def impute(spark, d):
-    sat = H.cell_dekads(B.filter_years(X.pixels(spark, d), date="time"), X.GRID)
+    sat = H.cell_dekads(B.filter_years(X.pixels(spark, d), date="time"), X.GRID, sparse=True)
     gaps = stage(sat.groupBy("ix", "iy").agg(F.avg(F.when(F.col("water_mask") > 0.6, F.col("MNDWI"))).alias("MNDWI_wet")), "gaps")
     return tidy(R.impute_column_median(gaps, ["MNDWI_wet"]), ["ix", "iy"], ["MNDWI_wet"])
 

@@ -326,7 +326,7 @@ def finite(spark, d):
         **{n: f'"{a}" * "{a}"' for n, a in K.SQUARES.items()}}.items()) + " FROM sat GROUP BY ix, iy", "sat"))
 def interactions(spark, d):
     names = [*K.INTERACTIONS, *K.RATIOS, *K.SQUARES]
-    df = E.interaction_features(H.cell_dekads(B.filter_years(X.pixels(spark, d), date="time"), X.GRID))
+    df = E.interaction_features(H.cell_dekads(B.filter_years(X.pixels(spark, d), date="time"), X.GRID, sparse=True))
     return df.groupBy("ix", "iy").agg(*[rounded(F.avg(c)).alias(c) for c in names])
 
 

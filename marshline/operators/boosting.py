@@ -141,28 +141,40 @@ def gradients(target: np.ndarray, scores: np.ndarray, loss: str) -> tuple[np.nda
     return target - p, p * (1 - p)
 
 
-def level_histograms(block: Block, fits: list[dict], loss: str, tree: int, level: int, seed: int, share: float) -> list[np.ndarray]:
-    """For each fit: (count, gradient, curvature) by open node of the level, drawn feature and bin."""
-    inside = drawn(block.ids, tree, seed, share)
+def tree_rows(block: Block, i: int, fit: dict, loss: str, tree: int, seed: int, share: float) -> tuple[np.ndarray, ...]:
+    """Bins, gradients and curvatures of the rows that a tree of the ``i``-th fit looks at."""
+    rows = np.flatnonzero(drawn(block.ids, tree, seed, share) & (block.fold != fit["without"]))
+    bins = block.bins[rows]
+    scores = block.scores[i][rows]
+    for f, c, v in fit["recent"]:
+        scores = scores + fit["step"] * v[leaves_of(bins, f, c)]
+    return bins, *gradients(block.target[rows], scores, loss)
+
+
+def level_histograms(block: Block, fits: list[dict], loss: str, tree: int, level: int, seed: int, share: float, kept: dict | None = None) -> list[np.ndarray]:
+    """For each fit: (count, gradient, curvature) by open node of the level, drawn feature and bin.
+
+    The rows of a tree are the same on all its levels; who asks for them one after another may pass a dictionary that keeps those of the last tree.
+    """
+    kept = {} if kept is None else kept
     out = []
     for i, fit in enumerate(fits):
-        rows = np.flatnonzero(inside & (block.fold != fit["without"]))
-        bins = block.bins[rows]
-        scores = block.scores[i][rows]
-        for f, c, v in fit["recent"]:
-            scores = scores + fit["step"] * v[leaves_of(bins, f, c)]
-        upper = (1 << level) - 1
-        node = leaves_of(bins, *(x[:upper] for x in fit["growing"])) if level else np.zeros(len(rows), np.int64)
-        place = node - ((1 << level) - 1)
-        at = np.flatnonzero(place >= 0)  # rows of leaves further up are out
-        chosen = fit["drawn"][place[at]]
-        take = chosen.shape[1]
-        gradient, curvature = gradients(block.target[rows], scores, loss)
-        key = (place[at, None] * take + np.arange(take)) * BINS + bins[at[:, None], chosen]
-        size = (1 << level) * take * BINS
-        flat = key.ravel()
-        out.append(np.stack([np.bincount(flat, minlength=size), np.bincount(flat, np.repeat(gradient[at], take), size),
-                             np.bincount(flat, np.repeat(curvature[at], take), size)]).reshape(3, 1 << level, take, BINS))
+        if kept.get(i, (None,))[0] != tree:
+            kept[i] = tree, tree_rows(block, i, fit, loss, tree, seed, share)
+        bins, gradient, curvature = kept[i][1]
+        upper, nodes = (1 << level) - 1, 1 << level
+        place = leaves_of(bins, *(x[:upper] for x in fit["growing"])) - upper if level else np.zeros(len(bins), np.int64)
+        first, flat = np.arange(0, bins.size, bins.shape[1]), bins.ravel()
+        if level:
+            at = np.flatnonzero(place >= 0)  # rows of leaves further up are out
+            if len(at) < len(place):
+                place, first, gradient, curvature = place[at], first[at], gradient[at], curvature[at]
+        hist = np.empty((3, nodes, fit["drawn"].shape[1], BINS))
+        for j, feature in enumerate(fit["drawn"].T):
+            key = place * BINS + flat.take(first + feature.take(place))
+            for total, weights in zip(hist, (None, gradient, curvature)):
+                total[:, j] = np.bincount(key, weights, nodes * BINS).reshape(nodes, BINS)
+        out.append(hist)
     return out
 
 
@@ -302,10 +314,10 @@ def _in_one_block(stored: DataFrame, plan: Plan, without: list[int], starts: lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in b.column(0).to_pylist():
-                block = _opened(shared.value, plan.width, starts[i:i + 1])
+                block, kept = _opened(shared.value, plan.width, starts[i:i + 1]), {}
 
                 def histograms(asked, t, level):
-                    return level_histograms(block, asked, plan.loss, t, level, plan.seed, plan.subsample)
+                    return level_histograms(block, asked, plan.loss, t, level, plan.seed, plan.subsample, kept)
 
                 def forward(recent, t):
                     block.scores[0] += plan.step * sum_of_trees(block.bins, *(np.array(x) for x in zip(*recent[0])))

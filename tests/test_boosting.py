@@ -152,3 +152,34 @@ def test_cross_validation_and_calibration(spark, data):
     pairs = U.calibrate_isotonic(table, NAMES, k=3, trees=10)
     out = U.calibrated_probability(table, pairs, NAMES, "p").toPandas()
     assert out.p.between(0, 1).all() and abs(out.p.mean() - out.label.mean()) < 0.05
+
+
+def test_rows_of_a_tree_are_looked_up_once(monkeypatch):
+    """All levels of a tree share its rows; every bin of every node still sums up exactly the rows it holds."""
+    rng = np.random.default_rng(3)
+    n, width, depth, share, seed = 3000, 7, 3, 0.7, 5
+    block = B.Block(rng.integers(0, 256, (n, width)).astype(np.uint8), rng.integers(0, 2, n).astype(float), rng.integers(0, 3, n).astype(np.int32),
+                    np.arange(n), rng.normal(size=(1, n)))
+    calls, draw = [], B.drawn
+    monkeypatch.setattr(B, "drawn", lambda *a: calls.append(a[1]) or draw(*a))
+    plan, kept = B.Plan(width, "log", 4, depth, 0.1, share, 20, seed), {}
+
+    def histograms(asked, tree, level):
+        got = B.level_histograms(block, asked, "log", tree, level, seed, share, kept)
+        fit, = asked
+        inside = draw(block.ids, tree, seed, share) & (block.fold != 1)
+        g, c = B.gradients(block.target, block.scores[0], "log")
+        node = B.leaves_of(block.bins, *(x[:(1 << level) - 1] for x in fit["growing"])) if level else np.zeros(n, int)
+        for k in range(1 << level):
+            rows = np.flatnonzero(inside & (node == k + (1 << level) - 1))
+            for j, f in enumerate(fit["drawn"][k]):
+                for have, w in zip(got[0][:, k, j], (np.ones(n), g, c)):
+                    np.testing.assert_allclose(have, np.bincount(block.bins[rows, f], w[rows], 256), atol=1e-9)
+        return got
+
+    def forward(recent, tree):
+        block.scores[0] += 0.1 * B.sum_of_trees(block.bins, *(np.array(x) for x in zip(*recent[0])))
+        return [[]]
+
+    done, = B.grow(plan, [(0, 1)], histograms, forward)
+    assert calls == list(range(4)) and (np.array(done["feature"]) >= 0).any()

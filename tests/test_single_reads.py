@@ -2,9 +2,11 @@
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalog import fixtures as X
+from marshline import constants as K
 from marshline.functions import casting as A
 from marshline.operators import sightings as B
 from marshline.plans import habitat as H
@@ -58,3 +60,21 @@ def test_pixels_carry_no_dekad(spark):
     plan = _plan(H.cell_dekads(X.pixels(spark, SF), X.GRID))
     keys = [line for line in plan.splitlines() if "Aggregate [" in line]
     assert "dekad" in keys[0] and "dekad" not in keys[-1].split("]")[0]
+
+
+def test_sparse_pixels_are_dealt_once_as_bands(spark):
+    """Few pixels per image and cell: bands move, not a sum and a count of every index; the means are those of the other form."""
+    px = B.filter_years(X.pixels(spark, SF), date="time")
+    got = H.cell_dekads(px, X.GRID, sparse=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "avg" not in plan[plan.index("Exchange "):]
+    key = lambda r: (r["ix"], r["iy"], r["dekad"])
+    for policy in (None, "composite"):
+        a = sorted(H.cell_dekads(px, X.GRID, policy=policy, sparse=True).collect(), key=key)
+        b = sorted(H.cell_dekads(px, X.GRID, policy=policy).collect(), key=key)
+        assert [key(r) for r in a] == [key(r) for r in b] and len(a) > 1000
+        for c in K.INDICES:
+            np.testing.assert_allclose(np.array([r[c] for r in a], float), np.array([r[c] for r in b], float), rtol=1e-9, atol=1e-12)
+    # the calendar features and sightings join without another exchange of pixels
+    whole = X.model_input(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert whole.count("REPARTITION_BY_COL") == 1
