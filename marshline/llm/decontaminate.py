@@ -73,9 +73,9 @@ def comparable(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hash_words(words), starts
 
 
-def budget(words: int, error_rate: float) -> int:
-    """Allowed edits: the rate alone. Pieces are as short as it asks for, one word at least."""
-    return max(0, min(int(words * error_rate), words - 1))
+def budget(words: int, error_rate: float, min_piece: int = 1) -> int:
+    """Allowed edits: the rate, as far as all pieces keep ``min_piece`` words. By default the rate alone: pieces are as short as it asks for, one word at least."""
+    return max(0, min(int(words * error_rate), words // min_piece - 1))
 
 
 def best_match(item: list[int], text: list[int]) -> tuple[int, int]:

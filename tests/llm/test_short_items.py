@@ -49,3 +49,9 @@ def test_the_rate_alone_sets_the_edits(spark):
         spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id int, text string"), error_rate=rate, min_words=1).collect()}
     want = {(i, j, distance(x, d)) for i, d in enumerate(docs) for j, x in enumerate(items) if distance(x, d) <= int(0.15 * len(x)) and len(d)}
     assert got == want and any(k == 7 - 1 for _, k, _ in want)
+
+
+def test_budget_by_rate_and_by_pieces():
+    for m in range(1, 300):
+        assert decontaminate.budget(m, 0.15) == min(int(m * 0.15), m - 1)
+        assert decontaminate.budget(m, 0.4, 4) == max(0, min(int(m * 0.4), m // 4 - 1))
